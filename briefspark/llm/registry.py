@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from briefspark.llm.bpe import op2_bpe
 from briefspark.llm.matroska import op6_matroska
+from briefspark.llm.packing import op4_packing
 from briefspark.llm.urlfilter import OP9_SQL, op9_url_filter
 from briefspark.llm.warc import OP3_SQL, op3_warc
+from briefspark.llm.wavelet import op8_wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bpe": op2_bpe,
         "op3_warc": op3_warc,
+        "op4_packing": op4_packing,
         "op6_matroska": op6_matroska,
+        "op8_wavelet": op8_wavelet,
         "op9_url_filter": op9_url_filter,
     }
 
