@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from briefspark.llm.bpe import op2_bpe
 from briefspark.llm.matroska import op6_matroska
 from briefspark.llm.packing import op4_packing
+from briefspark.llm.quality import op7_quality
+from briefspark.llm.simhash import op10_simhash
 from briefspark.llm.urlfilter import OP9_SQL, op9_url_filter
 from briefspark.llm.warc import OP3_SQL, op3_warc
 from briefspark.llm.wavelet import op8_wavelet
@@ -20,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_packing": op4_packing,
         "op6_matroska": op6_matroska,
+        "op7_quality": op7_quality,
         "op8_wavelet": op8_wavelet,
         "op9_url_filter": op9_url_filter,
+        "op10_simhash": op10_simhash,
     }
 
 
