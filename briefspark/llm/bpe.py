@@ -55,7 +55,7 @@ class PrefixBpe:
         for t, i in v.ids.items():
             self.ends.add_word(t.decode("latin-1"), (i, len(t)))
         self.ends.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, list[int]] = {}
         self.split = regex.compile(BYTE_PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(v.specials, key=len, reverse=True))) + ")") if v.specials else None
@@ -68,14 +68,11 @@ class PrefixBpe:
             out.append(token)
         return out[::-1]
 
-    def beside(self, left: int, right: int) -> bool:
-        """Whether the encoding of both tokens' bytes is these two tokens."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= PAIRS_KEPT:
-                self.pairs.clear()
-            known = self.pairs[key] = self._beside(self.border(left, 1), self.border(right, 0))
+    def beside(self, key: int) -> bool:
+        """Whether the encoding of two tokens' bytes is these two tokens; ``key`` has the left one above 32 bits."""
+        if len(self.pairs) >= PAIRS_KEPT:
+            self.pairs.clear()
+        known = self.pairs[key] = self._beside(self.border(key >> 32, 1), self.border(key & 0xFFFFFFFF, 0))
         return known
 
     def _beside(self, lefts: list[int], rights: list[int]) -> bool:
@@ -99,18 +96,17 @@ class PrefixBpe:
         if whole is not None:  # the longest token that ends here, with nothing before it
             return [whole]
         last = [-1] * (len(piece) + 1)
-        pairs = self.pairs
+        known, beside, done = self.pairs.get, self.beside, -1
         for end, (token, n) in self.ends.iter(piece.decode("latin-1")):
-            if last[end + 1] >= 0:
+            if end == done:
                 continue
-            start = end + 1 - n
-            if start == 0:
-                last[end + 1] = token
+            if n > end:
+                last[end + 1], done = token, end
                 continue
-            key = (last[start], token)
-            fits = pairs.get(key)
-            if self.beside(*key) if fits is None else fits:
-                last[end + 1] = token
+            key = last[end + 1 - n] << 32 | token
+            fits = known(key)
+            if fits or fits is None and beside(key):
+                last[end + 1], done = token, end
         out, at = [], len(piece)
         while at:
             out.append(last[at])
@@ -119,18 +115,24 @@ class PrefixBpe:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; a special token's string becomes its id."""
+        if text[1:].isalpha() and text.isascii() and (text[0] == " " or text[0].isalpha()):  # one piece
+            return self.encode_piece(text.encode())
+        if not self.special or not self.special.search(text):
+            return self.encode_part(text)
         out: list[int] = []
-        for k, part in enumerate(self.special.split(text) if self.special else [text]):
-            if k % 2:
-                out.append(self.specials[part])
-                continue
-            for piece in self.split(part):
-                ids = self.pieces.get(piece)
-                if ids is None:
-                    if len(self.pieces) >= PIECES_KEPT:
-                        self.pieces.clear()
-                    ids = self.pieces[piece] = self.encode_piece(piece.encode())
-                out += ids
+        for k, part in enumerate(self.special.split(text)):
+            out += [self.specials[part]] if k % 2 else self.encode_part(part)
+        return out
+
+    def encode_part(self, text: str) -> list[int]:
+        out: list[int] = []
+        for piece in self.split(text):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                if len(self.pieces) >= PIECES_KEPT:
+                    self.pieces.clear()
+                ids = self.pieces[piece] = self.encode_piece(piece.encode())
+            out += ids
         return out
 
     def decode(self, ids: list[int]) -> str:

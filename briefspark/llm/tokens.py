@@ -15,8 +15,8 @@ import numpy as np
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # How the word-end vocabulary splits lower-cased text.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-#: Entries that a chunk cache holds before it starts anew: some 80 MB.
-CACHE_ENTRIES = 300_000
+#: Entries that a chunk cache holds before it starts anew: some 150 MB.
+CACHE_ENTRIES = 800_000
 
 
 class OddChunk(Exception):
