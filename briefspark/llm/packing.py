@@ -17,8 +17,8 @@ from briefspark.llm.shared import materialize, table
 from briefspark.llm.tokens import byte_encoder, public_path
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-#: Rows of one length that are ranked in one task.
-RANKED_TOGETHER = 20_000
+#: Pieces of one length that are ranked together; longer queues are dealt into buckets by hash.
+RANKED_TOGETHER = 2_000
 
 
 def cut_documents(docs: DataFrame, path: str, room: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,13 +75,13 @@ def plan_packs(histogram: dict[int, int], room: int) -> list[tuple[int, int, int
 def place(pieces: DataFrame, room: int = 1024) -> DataFrame:
     """Give every piece (PIECES) its ``sequence_id`` and ``offset``; repeated rows get places of their own.
 
-    Ranks within a length are counted in buckets by hash, so a length that a third of all pieces
-    have is dealt over many tasks. ``pieces`` is read three times and should be a written table.
+    A length that many pieces have is dealt into buckets by hash, each ranked by itself and moved
+    on by what the buckets before it hold. ``pieces`` is read three times and should be a written table.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``room`` rows
-    buckets = max(1, -(-max(histogram.values(), default=0) // RANKED_TOGETHER))
-    rows = pieces.withColumn("__b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    buckets = spark.createDataFrame([(n, -(-c // RANKED_TOGETHER)) for n, c in histogram.items()], "length bigint, __buckets bigint")
+    rows = pieces.join(F.broadcast(buckets), "length").withColumn("__b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("__buckets")))
     counts = rows.groupBy("length", "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

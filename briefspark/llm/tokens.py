@@ -7,10 +7,9 @@ is neither empty nor begins or ends in white space; other texts are encoded in o
 from __future__ import annotations
 
 import json
+import struct
 from functools import cache
 
-import numpy as np
-
 # How the byte-level vocabulary splits text before merging.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # How the word-end vocabulary splits lower-cased text.
@@ -66,7 +65,7 @@ class Vocabulary:
 
 
 def packed(ids) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class ChunkCache(dict):
@@ -129,11 +128,18 @@ class WordEncoder:
         ranks = vocabulary.ids | {self.end: vocabulary.size + 1}
         self.merge = tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.pieces = regex.compile(WORD_PATTERN).findall
-        self.words: dict[str, list[int]] = {}
+        self.marks = {c: self.merge(c.encode() + self.end) for c in ".,;:!?"}
         self.chunks = ChunkCache(self.one)
 
     def one(self, chunk: str) -> bytes:
-        if max(chunk) >= "̀" or "<|" in chunk:
+        if chunk.isascii():
+            if chunk.isalpha():  # one piece
+                return packed(self.merge(chunk.lower().encode() + self.end))
+            if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+                return packed(self.merge(chunk[:-1].lower().encode() + self.end) + self.marks[chunk[-1]])
+        elif max(chunk) >= "\u0300":  # may compose, or be lowered otherwise
+            return packed(self.library.encode(chunk, add_special_tokens=False).ids)
+        if "<|" in chunk:
             return packed(self.library.encode(chunk, add_special_tokens=False).ids)
         ids: list[int] = []
         for piece in self.pieces(chunk.lower()):
