@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from briefspark.llm.bpe import op2_bpe
+from briefspark.llm.credentials import op1_credentials
 from briefspark.llm.matroska import op6_matroska
 from briefspark.llm.packing import op4_packing
 from briefspark.llm.quality import op7_quality
@@ -18,6 +19,7 @@ from briefspark.llm.wavelet import op8_wavelet
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_credentials": op1_credentials,
         "op2_bpe": op2_bpe,
         "op3_warc": op3_warc,
         "op4_packing": op4_packing,
