@@ -86,7 +86,10 @@ def add_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumn("__q_at", F.array_sort(F.transform(found, lambda x: x["i"]))).drop("__q_sorted")
     # words covered: from each repeated window up to the next one's start, five at most
     covered = F.aggregate("__q_at", F.struct(F.lit(0).alias("n"), F.lit(-5).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(5), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
-    return out.withColumn("__q_n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("__q_at")
+    out = out.withColumn("__q_n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("__q_at")
+    # a generator stops the optimizer from copying these expressions into filters and each other
+    found = [c for c in out.columns if c.startswith("__q_")]
+    return out.withColumn("__q", F.explode(F.array(F.struct(*found)))).select(*docs.columns, *(F.col(f"__q.{c}").alias(c) for c in found))
 
 
 def base_failed() -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from briefspark.llm.components import components
@@ -227,5 +227,191 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     return salted_left_join(rows, named, ["fp"], [F.col("doc_id")]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+# --- similarity of a given degree ------------------------------------------------------
+#
+# Fingerprints of texts whose sets of shingles overlap by 0.8 differ in some ten of 64 bits, too
+# many to deal by blocks of bits. These operators deal by bands of min-hashes instead, walk the
+# same trees with a wide radius, and confirm each pair by its share of equal min-hashes.
+
+BANDS, ROWS, HASHES = 12, 4, 128
+#: Four standard deviations above what fingerprints of similarity 0.8 differ in.
+WIDE_RADIUS = 21
+#: Shards up to this size are trees; in larger ones most members are joined by pivots first.
+TREE_LIMIT = 512
+#: Members of a shard that one task takes; larger shards are cut, and their classes' middles dealt once more.
+CUT = 50_000
+
+
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.default_rng(SEED)
+    return random.integers(0, 1 << 32, (2, HASHES), dtype=np.uint64).astype(np.uint32)[:, :, None] | np.array([[[1]], [[0]]], np.uint32)
+
+
+def signature(hashes: np.ndarray) -> tuple[bytes, list[int]]:
+    """Low bytes of the min-hashes of a set of shingles, and the keys of its bands."""
+    import xxhash
+
+    if not len(hashes):
+        hashes = np.zeros(1, "<u8")
+    factor, offset = _multipliers()
+    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    x = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    for at in range(0, len(x), 4096):
+        y = x[None, at : at + 4096] * factor + offset
+        y ^= y >> np.uint32(15)
+        least = np.minimum(least, y.min(axis=1))
+    keys = [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+    return (least * np.uint32(2654435761) >> np.uint32(24)).astype(np.uint8).tobytes(), keys
+
+
+def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, node (MD5 of the text), fp, sig and bands of every row; a null text is empty."""
+
+    def run(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import pyarrow as pa
+
+        known: dict[bytes, tuple] = {}  # copies of a text tend to be many
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows = []
+                for text in part.column(1).to_pylist():
+                    node = hashlib.md5((text or "").encode()).digest()
+                    if node not in known:
+                        if len(known) >= 20_000:
+                            known.clear()
+                        hashes = shingle_hashes(text, words)
+                        known[node] = (node, fingerprint(hashes), *signature(hashes))
+                    rows.append(known[node])
+                kinds = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "node", "fp", "sig", "bands"])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id bigint, node binary, fp bigint, sig binary, bands array<bigint>")
+
+
+def _alike(sigs: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 1 << 16):
+        out[at : at + (1 << 16)] = (sigs[a[at : at + (1 << 16)]] == sigs[b[at : at + (1 << 16)]]).sum(axis=1) >= least
+    return out
+
+
+def _middle(sigs: np.ndarray) -> int:
+    """The member that agrees most with what most members have at each place."""
+    most = np.array([np.bincount(c, minlength=256).argmax() for c in sigs.T], np.uint8)
+    return int((sigs == most).sum(axis=1).argmax())
+
+
+def _large_classes(values: np.ndarray, sigs: np.ndarray, label: np.ndarray, least: int) -> None:
+    """Join a large shard's members: pivots in the middle take most of them; then all outside the largest class meet all others."""
+    everyone = np.arange(len(values))
+    pool = everyone
+    while len(pool) > TREE_LIMIT:
+        pivot = int(pool[_middle(sigs[pool])])
+        near = everyone[(sigs == sigs[pivot]).sum(axis=1) >= least]
+        union(label, near, np.full(len(near), pivot))
+        rest = pool[label[pool] != label[pivot]]
+        if len(rest) > 0.95 * len(pool):
+            break
+        pool = rest
+    classes, sizes = np.unique(label, return_counts=True)
+    for q in everyone[label != classes[sizes.argmax()]]:
+        near = np.flatnonzero((np.bitwise_count(values ^ values[q]) <= WIDE_RADIUS) & (label != label[q]))
+        near = near[(sigs[near] == sigs[q]).sum(axis=1) >= least]
+        union(label, near, np.full(len(near), q))
+
+
+def similar_classes(values: np.ndarray, sigs: np.ndarray, shard: np.ndarray, similarity: float) -> np.ndarray:
+    """Labels that join similar members of each shard; members are ordered by shard."""
+    least = int(np.ceil(similarity * HASHES))
+    label = np.arange(len(values))
+    first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+    size = np.diff(np.r_[first, len(shard)])
+    for a, n in zip(first[size > TREE_LIMIT], size[size > TREE_LIMIT], strict=True):
+        own = np.arange(n)
+        _large_classes(values[a : a + n], sigs[a : a + n], own, least)
+        label[a : a + n] = own + a
+    small = np.flatnonzero(np.repeat((size > 1) & (size <= TREE_LIMIT), size))
+    if len(small):
+        forest, own = BkForest(values[small], shard[small]), np.arange(len(small))
+        for at in range(0, len(small), 2048):
+            a, b = forest.pairs(np.arange(at, min(at + 2048, len(small))), WIDE_RADIUS)
+            good = _alike(sigs, small[a], small[b], least)
+            union(own, a[good], b[good])
+        label[small] = small[own]
+    return label
+
+
+def _similar_links(shards: DataFrame, similarity: float) -> DataFrame:
+    """From rows (shard, node, fp, sig): links u > v; and a row (node, node) for a member in the middle of each class, with its shard."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def links(rows: list[tuple]):
+            keys, nodes, fps, sigs = zip(*rows, strict=True)
+            keys, sigs = np.array(keys, np.int64), np.frombuffer(b"".join(sigs), "u1").reshape(-1, HASHES)
+            label = similar_classes(np.array(fps, np.int64).view("<u8"), sigs, keys, similarity)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            pairs = [(nodes[i], nodes[j]) for i, j in zip(moved.tolist(), label[moved].tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.binary()), pa.array([min(p) for p in pairs], pa.binary())], names=["u", "v"])
+
+        rows: list[tuple] = []
+        for batch in batches:
+            rows += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            if len(rows) >= CUT and rows[0][0] != rows[-1][0]:
+                end = next(i for i in range(len(rows) - 1, -1, -1) if rows[i][0] != rows[-1][0]) + 1
+                yield links(rows[:end])
+                rows = rows[end:]
+        if rows:
+            yield links(rows)
+
+    return shards.select("shard", "node", "fp", "sig").repartition("shard").sortWithinPartitions("shard", "fp", "node").mapInArrow(run, "u binary, v binary")
+
+
+def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
+    """Links between texts that share a band and most min-hashes, as far as components need them.
+
+    A band that more than CUT texts share is cut by hash; a second round deals the least member
+    of each class found in a cut by the band alone, so cuts are joined by members that stand for
+    their classes.
+    """
+    shards = distinct.select("node", "fp", "sig", F.explode("bands").alias("shard"))
+    hot = shards.groupBy("shard").agg(F.count("*").alias("__n")).filter(F.col("__n") > CUT)
+    hot = materialize(hot, "hot")
+    if hot.isEmpty():
+        return _similar_links(shards, similarity)
+    parts = salted_left_join(shards, hot, ["shard"], [F.col("node")])
+    cut = F.when(F.col("__n").isNull(), F.col("shard")).otherwise(F.xxhash64("shard", F.pmod(F.xxhash64("node"), F.ceil(F.col("__n") / CUT))))
+    first = materialize(_similar_links(parts.withColumn("shard", cut), similarity), "links")
+    inner = first.select(F.col("u").alias("node")).distinct()
+    heads = materialize(parts.filter("__n is not null").drop("__n").join(inner, "node", "left_anti"), "heads")
+    return first.union(_similar_links(heads, similarity))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of exact and near copies the row with the smallest id, with all its columns.
+
+    Texts are alike if, by the share of equal min-hashes of 128, their sets of shingles overlap
+    by ``similarity`` or more; groups are components of such pairs. Case of A-Z and white space
+    don't count. Null and wordless texts are one group. Of repeated rows one stays; a null id
+    stays only if its group has no other.
+    """
+    rows = signatures(docs, words, id_col, text_col)
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    distinct = materialize(rows.groupBy("node").agg(smallest, F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "distinct")
+    stars = components(similar_links(distinct, similarity))
+    named = distinct.select("node", "first").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
+    best = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first", "node")).alias("best"))
+    keep = best.select(F.col("best.first.doc_id").alias("__keep_id"), F.col("best.node").alias("__keep_node"))
+    node = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    kept = docs.withColumns({"__id": F.col(id_col).cast("long"), "__node": node})
+    kept = kept.join(keep, (F.col("__node") == F.col("__keep_node")) & F.col("__id").eqNullSafe(F.col("__keep_id")), "left_semi")
+    first = Window.partitionBy("__id", "__node").orderBy(F.lit(0))
+    return kept.withColumn("__k", F.row_number().over(first)).filter("__k = 1").select(*docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
