@@ -10,7 +10,7 @@ Tables, and how they are joined:
 * Replies come together by block, in the blocks' own order of hashes; the scores of its words
   are looked up there and summed per document.
 
-Entries travel as byte planes of differences between ascending hashes, about 6 bytes each.
+Entries travel as compressed byte planes of differences between ascending hashes, 4 to 5 bytes each.
 Blocks keep their text in files of the shared folder, under names that a repeated task uses
 again; replies are matched against them by number of entries.
 """
@@ -29,11 +29,17 @@ ORDER = 3
 BACKOFF = 0.4
 #: N-grams of two and three words that occur less often count as unseen: else every text is seen, in itself.
 LEAST_COUNT = 2
-BLOCK_BYTES, PARTITION_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, PARTITION_BYTES = 6 << 20, 8 << 20
+#: Hashes keep so many bits: a wrong match is rare even among a trillion n-grams, and each bit travels with every entry.
+BITS = 56
 SEED = 7
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+def _key(x: np.ndarray) -> np.ndarray:
+    return x >> np.uint64(64 - BITS)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX[1]
     x = (x ^ (x >> np.uint64(27))) * _MIX[2]
@@ -45,7 +51,7 @@ def _extend(history: np.ndarray, words: np.ndarray) -> np.ndarray:
     return _mix(history * _MIX[0] + words)
 
 
-TOTAL = int(_mix(np.array([1], "<u8"))[0])
+TOTAL = _key(_mix(np.array([1], "<u8")))[0]
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -71,10 +77,11 @@ class BlockGrams:
             longer = np.zeros_like(words)
             longer[1:] = _extend(self.grams[-1][:-1], words[1:])
             self.grams.append(longer)
+        self.grams = [_key(g) for g in self.grams]
         self.valid = [self.place >= n for n in range(ORDER)]
         self.keys, self.counts = np.unique(np.concatenate([g[v] for g, v in zip(self.grams, self.valid, strict=True)]), return_counts=True)
-        at = int(np.searchsorted(self.keys, np.uint64(TOTAL)))
-        self.keys = np.insert(self.keys, at, np.uint64(TOTAL))
+        at = int(np.searchsorted(self.keys, TOTAL))
+        self.keys = np.insert(self.keys, at, TOTAL)
         self.counts = np.insert(self.counts, at, len(words))
 
     def scores(self, totals: np.ndarray) -> np.ndarray:
@@ -85,7 +92,7 @@ class BlockGrams:
         count = [np.where(v, totals[np.searchsorted(self.keys, g).clip(max=len(totals) - 1)], 0) for g, v in zip(self.grams, self.valid, strict=True)]
         for k in range(1, ORDER):
             count[k][count[k] < LEAST_COUNT] = 0
-        everything = float(totals[np.searchsorted(self.keys, np.uint64(TOTAL))])
+        everything = float(totals[np.searchsorted(self.keys, TOTAL)])
         score = count[0] / everything
         for k in range(1, ORDER):
             history = np.r_[0, count[k - 1][:-1]]
@@ -101,11 +108,18 @@ class BlockGrams:
 
 def planes(values: np.ndarray, width: int) -> bytes:
     """Numbers as their lowest bytes, then their second ones, and so on: planes of zeros compress away."""
-    return values.astype(f"<u{width}").view("u1").reshape(-1, width).T.tobytes()
+    import pyarrow as pa
+
+    data = values.astype(f"<u{width}").view("u1").reshape(-1, width).T.tobytes()
+    return len(values).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def from_planes(data: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(data, "u1").reshape(width, -1).T.copy().view(f"<u{width}").reshape(-1)
+    import pyarrow as pa
+
+    n = int.from_bytes(data[:4], "little")
+    plain = pa.decompress(data[4:], decompressed_size=n * width, codec="zstd")
+    return np.frombuffer(plain, "u1").reshape(width, n).T.copy().view(f"<u{width}").reshape(-1)
 
 
 def ascending(values: np.ndarray) -> bytes:
@@ -141,7 +155,7 @@ def _requests(folder: str, bits: int):
                 file.write_table(data)
             system.move(attempt, f"{place}/{name}")
             grams = BlockGrams(texts)
-            parts = (grams.keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams.keys), np.int64)
+            parts = (grams.keys >> np.uint64(BITS - bits)).astype(np.int64) if bits else np.zeros(len(grams.keys), np.int64)
             used, first = np.unique(parts, return_index=True)
             ends = [*first[1:], len(parts)]
             rows = [(int(p), name, ascending(grams.keys[a:b]), planes(grams.counts[a:b], 4)) for p, a, b in zip(used, first, ends, strict=True)]
@@ -171,11 +185,12 @@ def _replies(batches: Iterator) -> Iterator:
     if not asked:
         return
     grams = [from_ascending(r[2]) for r in asked]
-    keys = np.concatenate(grams)
-    order = np.argsort(keys, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(keys[order]) > 0])
-    totals = np.add.reduceat(np.concatenate([from_planes(r[3], 4) for r in asked]).astype(np.int64)[order], first)
-    keys = keys[order][first]
+    order = np.argsort(keys := np.concatenate(grams), kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    totals = np.add.reduceat(np.concatenate([from_planes(r[3], 4) for r in asked])[order], first, dtype=np.int64)
+    keys = keys[first]
+    del order, first
     for at in range(0, len(asked), 64):
         rows = [(r[1], r[0], planes(totals[np.searchsorted(keys, g)], 8)) for r, g in zip(asked[at : at + 64], grams[at : at + 64], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["block", "part", "totals"])
