@@ -22,6 +22,11 @@ def _lookup(key: Column, values: dict) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), key)
 
 
+def _instant(iso: Column) -> Column:
+    """A timestamp whose seconds may be missing, as they are in these payloads; null if it isn't one."""
+    return F.regexp_replace(iso, r"(T\d{2}:\d{2})(?=Z|[+-]|$)", "$1:00").try_cast("timestamp")
+
+
 def slug(league: Column, abbreviation: Column) -> Column:
     return F.coalesce(_lookup(F.concat(league, F.lit("/"), F.upper(abbreviation)), SLUGS), F.lower(abbreviation))
 
@@ -45,7 +50,7 @@ def events(payloads: DataFrame, body: str = "body") -> DataFrame:
     rows = payloads.select("league", "board", F.posexplode(F.from_json(F.col(body), SCHEMA)["events"]).alias("pos", "e"))
     sides = F.get(F.col("e.competitions"), 0)["competitors"]
     side = lambda name, k: F.when(F.size(sides) == 2, F.coalesce(F.get(F.filter(sides, lambda c: c["homeAway"] == name), 0), F.get(sides, k)))
-    return rows.withColumns({"away": side("away", 0), "home": side("home", 1), "ts": F.col("e.date").try_cast("timestamp")})
+    return rows.withColumns({"away": side("away", 0), "home": side("home", 1), "ts": _instant(F.col("e.date"))})
 
 
 def games(rows: DataFrame, team: str) -> DataFrame:
