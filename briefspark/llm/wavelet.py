@@ -151,7 +151,7 @@ class WaveletFile:
 
 
 def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> int:
-    """Encode every text, deal documents by ranges of id and write one file per range; returns how many.
+    """Encode every text, deal documents by ranges of id and write one file per range; returns how many, 0 for an empty table.
 
     Null ids go first; rows that share an id stand together, ordered by their tokens. A null text
     is empty: its end id alone. Ranges come from approximate quantiles over all ids, so a shard
@@ -201,6 +201,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1, id_co
 
     dealt = rows.mapInArrow(encode, "shard int, id bigint, tokens binary").repartitionById(shards, F.col("shard")).sortWithinPartitions(F.col("id").asc_nulls_first(), "tokens")
     written = dealt.mapInArrow(write, "shard bigint, tokens bigint").collect()  # one row a shard
+    if not written:
+        return 0
     starts = [0] * shards
     for r in written:
         starts[r["shard"]] = r["tokens"]
@@ -226,7 +228,8 @@ def read_shards(spark: SparkSession, folder: str, shards: int) -> DataFrame:
                 for k in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + 10_000], strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.range(0, shards, 1, shards).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+    return spark.range(0, shards, 1, shards).mapInArrow(read, schema) if shards else spark.createDataFrame([], schema)
 
 
 def op8_wavelet(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
