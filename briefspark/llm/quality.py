@@ -79,11 +79,11 @@ def add_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ).drop("__q_hashes", "__q_lines", "__q_text")
     w = F.col("__q_windows")
     repeats = F.size(F.array_distinct(w)) < F.size(w)
-    out = out.withColumn("__q_sorted", F.when(repeats, F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).drop("__q_windows")
+    out = out.withColumn("__q_sorted", F.when(repeats, F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).drop("__q_windows")
     s = F.col("__q_sorted")
     same = lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"])
     found = F.filter(s, lambda x, i: F.coalesce(same(x, i), F.get(s, i - 1)["h"] == x["h"], F.get(s, i + 1)["h"] == x["h"], F.lit(False)))
-    out = out.withColumn("__q_at", F.array_sort(F.transform(found, lambda x: x["i"]))).drop("__q_sorted")
+    out = out.withColumn("__q_at", F.sort_array(F.transform(found, lambda x: x["i"]))).drop("__q_sorted")
     # words covered: from each repeated window up to the next one's start, five at most
     covered = F.aggregate("__q_at", F.struct(F.lit(0).alias("n"), F.lit(-5).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(5), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     out = out.withColumn("__q_n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("__q_at")

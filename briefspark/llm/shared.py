@@ -65,8 +65,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread_on: list[Column], salts: int = 16) -> DataFrame:
     """Left equi-join that spreads the rows of a hot key over ``salts`` tasks; ``right`` has one row a key.
 
-    ``right`` is repeated once per salt; Spark itself decides on a broadcast, by the measured size.
+    ``right`` is repeated once per salt and never broadcast: Spark would judge by its size before that.
     """
     salted = left.withColumn("__salt", F.pmod(F.xxhash64(*spread_on), F.lit(salts)))
     copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, [*keys, "__salt"], "left").drop("__salt")
+    return salted.join(copies.hint("merge"), [*keys, "__salt"], "left").drop("__salt")
