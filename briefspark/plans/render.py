@@ -17,8 +17,12 @@ def _sources(indent: str) -> Column:
     return F.transform(web, lambda s: F.concat(F.lit(f"{indent}- "), s["source"], F.lit(": "), s["url"]))
 
 
-def topic_lines(topics: DataFrame) -> DataFrame:
-    """(run_id, ord, line) from numbered topics (rank, title, area, tags, latest_developments, summary, sources)."""
+def _lines(rows: DataFrame, section: Column, at: str, parts: Column) -> DataFrame:
+    return rows.select("run_id", section.alias("section"), F.col(at).cast("long").alias("at"), F.posexplode(parts).alias("n", "line")).select("run_id", "section", F.struct("at", "n").alias("ord"), "line")
+
+
+def topic_lines(topics: DataFrame, section: Column) -> DataFrame:
+    """(run_id, section, ord, line) from numbered topics (rank, title, area, tags, latest_developments, summary, sources)."""
     tags = F.when(F.size("tags") > 0, F.concat(F.lit("["), F.array_join("tags", ", "), F.lit("]")))
     head = wrapped(F.concat(F.col("rank").cast("string"), F.lit(". "), F.upper("title")), WIDTH, "", "   ")
     parts = F.concat(
@@ -26,38 +30,39 @@ def topic_lines(topics: DataFrame) -> DataFrame:
         F.array(wrapped(F.concat_ws(" · ", F.nullif("area", F.lit("")), tags), WIDTH, "   "), wrapped(F.concat(F.lit("Latest developments: "), "latest_developments"), WIDTH, "   "), wrapped(F.col("summary"), WIDTH, "   ")),
         _sources("   "),
     )
-    return topics.select("run_id", F.col("rank").cast("long").alias("at"), F.posexplode(parts).alias("n", "line")).select("run_id", F.struct("at", "n").alias("ord"), "line")
+    return _lines(topics, section, "rank", parts)
 
 
-def story_lines(stories: DataFrame) -> DataFrame:
+def story_lines(stories: DataFrame, section: Column) -> DataFrame:
     parts = F.concat(F.array(wrapped(F.col("title"), WIDTH, "* ", "  "), wrapped(F.concat(F.lit("Latest developments: "), "latest_developments"), WIDTH, "  ")), F.when(F.col("summary") != "", F.array(wrapped(F.col("summary"), WIDTH, "  "))).otherwise(F.array().cast("array<string>")), _sources("  "))
-    return stories.select("run_id", F.col("pos").cast("long").alias("at"), F.posexplode(parts).alias("n", "line")).select("run_id", F.struct("at", "n").alias("ord"), "line")
+    return _lines(stories, section, "pos", parts)
 
 
-def glance_lines(entries: DataFrame) -> DataFrame:
+def glance_lines(entries: DataFrame, section: Column) -> DataFrame:
     """Entries with their kind, and the distinct titles of what they link."""
     label = F.concat(F.lit("["), F.upper("kind"), F.coalesce(F.concat(F.lit(" ("), "status", F.lit(")")), F.lit("")), F.lit("] "))
     titles = F.array_distinct(F.filter(F.transform("links", lambda x: x["title"]), lambda t: t != ""))
     see = F.when(F.size(titles) > 0, F.array(wrapped(F.concat(F.lit("see: "), F.array_join(titles, "; ")), WIDTH, "  "))).otherwise(F.array().cast("array<string>"))
     parts = F.concat(F.array(wrapped(F.concat(label, "text"), WIDTH, "* ", "  ")), see)
-    return entries.select("run_id", F.col("pos").cast("long").alias("at"), F.posexplode(parts).alias("n", "line")).select("run_id", F.struct("at", "n").alias("ord"), "line")
+    return _lines(entries, section, "pos", parts)
+
+
+def _titles(titles: list[str]) -> Column:
+    return F.create_map(*(F.lit(x) for k, t in enumerate(titles) for x in (k, t)))
 
 
-def briefing(sections: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Sections below each other: (run_id, section, ord, line). One without lines isn't there, heading included."""
-    out = []
-    for k, (title, lines) in enumerate(sections):
-        heads = lines.select("run_id").distinct()
-        for n, text in enumerate(("", title.upper(), "-" * WIDTH)):
-            out.append(heads.select("run_id", F.lit(k).alias("section"), F.struct(F.lit(-1).cast("long").alias("at"), F.lit(n).alias("n")).alias("ord"), F.lit(text).alias("line")))
-        out.append(lines.select("run_id", F.lit(k).alias("section"), "ord", "line"))
-    return reduce(DataFrame.unionByName, out)
+def briefing(titles: list[str], *parts: DataFrame) -> DataFrame:
+    """All parts' lines and, above each section that has any, its heading; ``section`` is a place in ``titles``."""
+    lines = reduce(DataFrame.unionByName, parts)
+    head = F.array(F.lit(""), F.upper(F.try_element_at(_titles(titles), F.col("section"))), F.lit("-" * WIDTH))
+    heads = lines.select("run_id", "section").distinct().withColumn("at", F.lit(-1))
+    return lines.unionByName(_lines(heads, F.col("section"), "at", head))
 
 
-def contents(sections: list[tuple[str, DataFrame]]) -> DataFrame:
+def contents(titles: list[str], lines: DataFrame) -> DataFrame:
     """Per run the titles of the sections that have lines."""
-    present = reduce(DataFrame.unionByName, (lines.select("run_id").distinct().withColumns({"k": F.lit(k), "title": F.lit(title)}) for k, (title, lines) in enumerate(sections)))
-    return present.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "title"))), lambda x: x["title"]), " | ").alias("contents"))
+    present = lines.groupBy("run_id").agg(F.sort_array(F.collect_set("section")).alias("k"))
+    return present.select("run_id", F.array_join(F.transform("k", lambda k: F.try_element_at(_titles(titles), k)), " | ").alias("contents"))
 
 
 def linked_html(text: Column, links: Column) -> Column:

@@ -89,20 +89,19 @@ def test_plain_entries_in_order(spark):
     catalog = spark.createDataFrame([("r", "i-1", "A", "new"), ("r", "i-2", "B", "new")], "run_id string, anchor string, title string, status string")
     got = sorted(glance.glance(glance.plain_entries(trends, changed), catalog).collect(), key=lambda r: r.pos)
     assert [(r.kind, r.text) for r in got] == [("Trend", "Acme leads"), ("Trend", "Nothing"), ("Update", "Beta ships")]
-    lines = render.glance_lines(spark.createDataFrame(got)).orderBy("ord").collect()
+    lines = render.glance_lines(spark.createDataFrame(got), F.lit(0)).orderBy("ord").collect()
     assert lines[0].line == "* [TREND] Acme leads" and lines[-1].line == "  see: B"
 
 
 def test_rendering(spark):
     source = "array<struct<source:string,title:string,url:string>>"
     topics = spark.createDataFrame([("r", 1, "Big <news>", "Cloud", ["a", "b"], "latest", "sum", [("S", "t", "https://x"), ("T", "t", "ftp://y")], "i-1", 0)], f"run_id string, rank int, title string, area string, tags array<string>, latest_developments string, summary string, sources {source}, anchor string, pos int")
-    lines = [r.line for r in render.topic_lines(topics).orderBy("ord").collect()]
+    lines = [r.line for r in render.topic_lines(topics, F.lit(1)).orderBy("ord").collect()]
     assert lines == ["", "1. BIG <NEWS>", "   Cloud · [a, b]", "   Latest developments: latest", "   sum", "   - S: https://x"]
-    empty = render.story_lines(topics.limit(0))
-    parts = [("Glance", empty), ("Security", render.topic_lines(topics))]
-    whole = render.briefing(parts).orderBy("section", "ord").collect()
-    assert [r.line for r in whole][:3] == ["", "SECURITY", "-" * 64]
-    assert render.contents(parts).first().contents == "Security"
+    parts = render.story_lines(topics.limit(0), F.lit(2)), render.topic_lines(topics, F.lit(1))
+    whole = render.briefing(["Glance", "Security", "Local"], *parts)
+    assert [r.line for r in whole.orderBy("section", "ord").collect()][:3] == ["", "SECURITY", "-" * 64]
+    assert render.contents(["Glance", "Security", "Local"], whole).first().contents == "Security"
     html = render.story_html(topics).first().html
     assert "Big &lt;news&gt;" in html and 'href="#"' in html
     links = spark.createDataFrame([("a <b> c", [("i-1", "b", 3, 4, ""), ("i-2", "x", 2, 9, "")])], "text string, links array<struct<anchor:string,phrase:string,start:int,end:int,title:string>>")
