@@ -7,6 +7,7 @@ is neither empty nor begins or ends in white space; other texts are encoded in o
 from __future__ import annotations
 
 import json
+import re
 import struct
 from functools import cache
 
@@ -16,6 +17,8 @@ BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 #: Entries that a chunk cache holds before it starts anew: some 150 MB.
 CACHE_ENTRIES = 800_000
+#: White space of this length or more goes to the tokenizers library: the faster one gives up on much longer runs.
+BLANK_RUN = 10_000
 
 
 class OddChunk(Exception):
@@ -164,9 +167,10 @@ def byte_encoder(path: str) -> SpacedEncoder:
     library.no_padding()
     fast = tiktoken.Encoding("bytes", pat_str=BYTE_PATTERN, mergeable_ranks=vocabulary.ids, special_tokens={}).encode_ordinary
     specials = list(vocabulary.specials)
+    long_blank = re.compile(rf"\s{{{BLANK_RUN}}}").search
 
     def encode_text(text: str):
-        if any(s in text for s in specials):
+        if any(s in text for s in specials) or len(text) >= BLANK_RUN and long_blank(text):
             return library.encode(text, add_special_tokens=False).ids
         return fast(text)
 

@@ -46,6 +46,14 @@ def test_encoders_equal_the_library(texts):
             assert [ids(encoder.encode(t)) for t in texts] == want
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" + "\n" * 600_000 + "b", "x" * 300_000, "word, " * 100_000])
+def test_very_long_texts(text):
+    want = library(BYTES).encode(text, add_special_tokens=False).ids
+    assert ids(tokens.byte_encoder(BYTES).encode(text)) == want
+    assert ids(bpe.prefix_encoder(BYTES)[1].encode(text)) == want
+    assert ids(tokens.word_encoder(WORDS).encode(text)) == library(WORDS).encode(text, add_special_tokens=False).ids
+
+
 def test_decoding_equals_the_library(texts):
     lib, own = library(BYTES), bpe.prefix_encoder(BYTES)[0]
     pick = random.Random(2)
