@@ -29,6 +29,16 @@ def last_of_day(runs: DataFrame, time: str = "run_ts") -> DataFrame:
     return runs.groupBy("run_date").agg(F.max_by(whole, time).alias("r")).select("r.*")
 
 
+def save_page(lines: DataFrame, path: str) -> None:
+    """Write a run's ordered lines (section, ord, line) as one text file; a page has a few hundred lines."""
+    lines.coalesce(1).sortWithinPartitions("section", "ord").select("line").write.mode("overwrite").text(path)
+
+
+def prior_count(runs: DataFrame) -> DataFrame:
+    """Runs and topics that earlier coverage holds (rows with an array ``topics``)."""
+    return runs.agg(F.count("*").alias("runs"), F.coalesce(F.sum(F.size("topics").cast("long")), F.lit(0)).alias("topics"))
+
+
 def expired(rows: DataFrame, date: Column, today: Column, days: int) -> DataFrame:
     """Rows whose day is before the retention; none if ``days`` isn't positive."""
     return rows.filter((date < F.date_sub(today, days)) if days > 0 else F.lit(False))

@@ -15,6 +15,8 @@ SCHEMA = f"events array<{EVENT}>"
 # Names that pages use for teams where they aren't the abbreviation, and for playoff weeks.
 SLUGS = {"mlb/CHW": "cws", "nhl/TB": "tbl", "nhl/NJ": "njd", "nhl/SJ": "sjs", "nhl/LA": "lak", "nfl/WSH": "was"}
 PLAYOFFS = {1: "wild-card", 2: "divisional", 3: "conference", 5: "super-bowl"}
+# Code points shown of each field.
+LENGTHS = {"team": 80, "record": 20, "date": 40, "result": 160, "recap": 300, "matchup": 80, "when": 60}
 PAGES = "https://plaintextsports.com"
 
 
@@ -22,6 +24,11 @@ def _lookup(key: Column, values: dict) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), key)
 
 
+def shortened(rows: DataFrame) -> DataFrame:
+    """Fields cut to what is shown of them."""
+    return rows.withColumns({c: F.substring(c, 1, n) for c, n in LENGTHS.items() if c in rows.columns})
+
+
 def _instant(iso: Column) -> Column:
     """A timestamp whose seconds may be missing, as they are in these payloads; null if it isn't one."""
     return F.regexp_replace(iso, r"(T\d{2}:\d{2})(?=Z|[+-]|$)", "$1:00").try_cast("timestamp")
@@ -67,7 +74,8 @@ def games(rows: DataFrame, team: str) -> DataFrame:
     result = F.when(off, F.concat(name("away"), F.lit(" @ "), name("home"), F.lit(" · "), F.coalesce(F.nullif(detail, F.lit("")), F.lit("Postponed")))).otherwise(F.concat_ws(" · ", scored("away"), scored("home"), shown))
     recap = F.when(off, "").otherwise(F.coalesce(F.get(F.get(F.col("e.competitions"), 0)["headlines"], 0)["shortLinkText"], F.lit("")))
     url = game_url(F.col("league"), F.col("ts"), F.col("away.team.abbreviation"), F.col("home.team.abbreviation"), F.col("e"))
-    return played.select("league", "board", "pos", game_day(F.col("ts")).alias("date"), result.alias("result"), url.alias("url"), recap.alias("recap"))
+    shown_games = played.select("league", "board", "pos", game_day(F.col("ts")).alias("date"), result.alias("result"), url.alias("url"), recap.alias("recap"))
+    return shortened(shown_games)
 
 
 def next_game(rows: DataFrame, now: Column, days: int = 15) -> DataFrame:
@@ -76,11 +84,12 @@ def next_game(rows: DataFrame, now: Column, days: int = 15) -> DataFrame:
     ahead = rows.filter((F.coalesce(state, F.lit("")).isin("", "pre")) & (F.col("ts") > now) & (F.col("ts") <= now + F.make_dt_interval(days=F.lit(days))))
     found = ahead.groupBy("league").agg(F.min_by(F.struct("e", "ts", "away", "home"), F.struct("ts", "board", "pos")).alias("g")).select("league", "g.*").filter("away is not null")
     name = lambda s: F.coalesce(F.col(f"{s}.team.shortDisplayName"), F.lit("?"))
-    return found.select("league", F.concat(name("away"), F.lit(" @ "), name("home")).alias("matchup"), game_time(F.col("ts")).alias("when"), game_url(F.col("league"), F.col("ts"), F.col("away.team.abbreviation"), F.col("home.team.abbreviation"), F.col("e")).alias("url"))
+    ahead = found.select("league", F.concat(name("away"), F.lit(" @ "), name("home")).alias("matchup"), game_time(F.col("ts")).alias("when"), game_url(F.col("league"), F.col("ts"), F.col("away.team.abbreviation"), F.col("home.team.abbreviation"), F.col("e")).alias("url"))
+    return shortened(ahead)
 
 
 def team_blocks(played: DataFrame, ahead: DataFrame, teams: DataFrame) -> DataFrame:
     """Per league with a game or a next one: team, record, games in order, next."""
     ahead = ahead.withColumn("__next", F.struct("matchup", "when", "url")).select("league", "__next")
     each = played.groupBy("league").agg(F.sort_array(F.collect_list(F.struct("board", "pos", "date", "result", "url", "recap"))).alias("games"))
-    return teams.join(each, "league", "left").join(ahead, "league", "left").filter("games is not null or __next is not null").withColumnRenamed("__next", "next")
+    return shortened(teams).join(each, "league", "left").join(ahead, "league", "left").filter("games is not null or __next is not null").withColumnRenamed("__next", "next")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 FORECAST = "properties struct<periods:array<struct<name:string,shortForecast:string,isDaytime:boolean,temperature:int,temperatureUnit:string>>>"
 
+LINE_CHARS = 200
+
 
 def period_line(p: Column) -> Column:
     hilo = F.when(F.coalesce(p["isDaytime"], F.lit(False)), "high").otherwise("low")
@@ -15,4 +17,4 @@ def period_line(p: Column) -> Column:
 
 def weather_lines(payloads: DataFrame, body: str = "body", periods: int = 3) -> DataFrame:
     found = F.from_json(F.col(body), FORECAST)["properties"]["periods"]
-    return payloads.select(F.posexplode(F.transform(F.slice(found, 1, periods), period_line)).alias("pos", "line"))
+    return payloads.select(F.posexplode(F.transform(F.slice(found, 1, periods), lambda p: F.substring(period_line(p), 1, LINE_CHARS))).alias("pos", "line"))

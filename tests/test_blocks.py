@@ -37,6 +37,8 @@ def test_next_game(spark):
     rows = boards(spark, ("mlb", 0, [event("1", "2026-06-12T23:05Z", "pre"), event("2", "2026-06-27T23:05Z", None), event("3", "2026-06-27T23:06Z", "pre"), event("4", "2026-06-13T23:05Z", "post")]))
     got = sports.next_game(rows, F.lit(now)).collect()
     assert [(r.matchup, r.when) for r in got] == [("Yankees @ Pirates", "Sat Jun 27, 7:05 PM")]
+    long = boards(spark, ("mlb", 0, [event("1", "2026-06-12T23:05Z", "post", away=("NYY", "Y" * 300, "3"))]))
+    assert len(sports.games(long, "PIT").first().result) == 160
     teams = spark.createDataFrame([("mlb", "Pirates", "1-0"), ("nhl", "Penguins", "")], "league string, team string, record string")
     assert [r.team for r in sports.team_blocks(sports.games(rows, "PIT"), sports.next_game(rows, F.lit(now)), teams).collect()] == ["Pirates"]
 

@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from briefspark.operators import archive
 from briefspark.plans import briefing, report
 from briefspark.sources import feeds
 
@@ -30,7 +31,10 @@ def test_two_runs(spark, tmp_path):
         security_b=rss(("Firewall makers respond", "http://b/1", "11", "They say")),
         bizpol_c=rss(("Markets rise", "http://c/1", "12", "Up")),
     )
-    lines = [r.line for r in briefing.run(spark, read(spark, tmp_path / "in", **first), store, NOW).collect()]
+    page = briefing.run(spark, read(spark, tmp_path / "in", **first), store, NOW)
+    lines = [r.line for r in page.collect()]
+    archive.save_page(page, str(tmp_path / "page"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "page")).collect()] == [x for line in lines for x in line.split("\n")]
     assert "SECURITY" in lines and "BUSINESS AND POLITICS" in lines and "EVENTS" not in lines
     assert not any("[UPDATE" in x for x in lines)
     stories = spark.read.parquet(store)
