@@ -92,9 +92,9 @@ class SpacedEncoder:
     ``encode_text(text)`` gives the ids of any text; chunks are given to it with their space.
     """
 
-    def __init__(self, encode_text) -> None:
+    def __init__(self, encode_text, entries: int = CACHE_ENTRIES) -> None:
         self.encode_text = encode_text
-        self.rest = ChunkCache(lambda c: self.one(c, " "))
+        self.rest = ChunkCache(lambda c: self.one(c, " "), entries)
         self.first = ChunkCache(lambda c: self.one(c, ""), 10_000)
 
     def one(self, chunk: str, before: str) -> bytes:
@@ -174,7 +174,7 @@ def byte_encoder(path: str) -> SpacedEncoder:
             return library.encode(text, add_special_tokens=False).ids
         return fast(text)
 
-    return SpacedEncoder(encode_text)
+    return SpacedEncoder(encode_text, CACHE_ENTRIES // 3)  # what is missing costs little here
 
 
 @cache
