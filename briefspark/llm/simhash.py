@@ -359,7 +359,7 @@ def similar_classes(values: np.ndarray, sigs: np.ndarray, shard: np.ndarray, sim
 
 
 def _similar_links(shards: DataFrame, similarity: float) -> DataFrame:
-    """From rows (shard, node, fp, sig): links u > v; and a row (node, node) for a member in the middle of each class, with its shard."""
+    """From rows (shard, node, fp, sig): links u > v, a star for each class that a shard holds."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -388,13 +388,14 @@ def _similar_links(shards: DataFrame, similarity: float) -> DataFrame:
 def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
     """Links between texts that share a band and most min-hashes, as far as components need them.
 
-    A band that more than CUT texts share is cut by hash; a second round deals the least member
-    of each class found in a cut by the band alone, so cuts are joined by members that stand for
-    their classes.
+    A band that more than CUT texts share is cut by hash, and the least member of each class found
+    in a cut is dealt once more: by the band alone if at most CUT are left, so that the cuts'
+    classes are joined, else by the band and each other one of the text, which tells texts apart
+    that share a common passage and little else.
     """
-    shards = distinct.select("node", "fp", "sig", F.explode("bands").alias("shard"))
-    hot = shards.groupBy("shard").agg(F.count("*").alias("__n")).filter(F.col("__n") > CUT)
-    hot = materialize(hot, "hot")
+    shards = distinct.select("node", "fp", "sig", "bands", F.explode("bands").alias("shard"))
+    crowded = lambda rows: materialize(rows.groupBy("shard").agg(F.count("*").alias("__n")).filter(F.col("__n") > CUT), "crowded")
+    hot = crowded(shards)
     if hot.isEmpty():
         return _similar_links(shards, similarity)
     parts = salted_left_join(shards, hot, ["shard"], [F.col("node")])
@@ -402,7 +403,10 @@ def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
     first = materialize(_similar_links(parts.withColumn("shard", cut), similarity), "links")
     inner = first.select(F.col("u").alias("node")).distinct()
     heads = materialize(parts.filter("__n is not null").drop("__n").join(inner, "node", "left_anti"), "heads")
-    return first.union(_similar_links(heads, similarity))
+    split = salted_left_join(heads, crowded(heads), ["shard"], [F.col("node")])
+    others = F.transform(F.array_remove("bands", F.col("shard")), lambda b: F.xxhash64(F.col("shard"), b))
+    finer = split.withColumn("shard", F.explode(F.when(F.col("__n").isNull(), F.array("shard")).otherwise(others)))
+    return first.union(_similar_links(finer, similarity))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

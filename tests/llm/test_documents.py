@@ -321,6 +321,21 @@ def test_a_crowd_of_near_copies(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()) == [0, 1000]
 
 
+def test_a_common_passage_is_no_copy(spark, monkeypatch):
+    """Texts that share most of their words crowd bands but stay; near copies among them go, also across cuts."""
+    monkeypatch.setattr(simhash, "CUT", 20)
+    pick = random.Random(6)
+    passage = [f"p{k}" for k in range(90)]
+    rows = []
+    for k in range(300):
+        words = passage + [f"w{pick.randrange(10**6)}" for _ in range(20)]
+        rows.append((10 * k, " ".join(words)))
+        if k % 10 == 0:
+            rows.append((10 * k + 1, varied(pick, words, 1)))
+    got = {r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()}
+    assert got == {10 * k for k in range(300)}
+
+
 # --- language model --------------------------------------------------------------------
 
 
