@@ -230,16 +230,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
 # --- similarity of a given degree ------------------------------------------------------
 #
 # Fingerprints of texts whose sets of shingles overlap by 0.8 differ in some ten of 64 bits, too
-# many to deal by blocks of bits. These operators deal by bands of min-hashes instead, walk the
-# same trees with a wide radius, and confirm each pair by its share of equal min-hashes. Of each
-# min-hash two bits are kept: unequal ones agree in a quarter of all cases, which is allowed for,
-# and 512 of them take no more room than 128 whole bytes but tell similarities apart better.
+# many to deal by blocks of bits or to walk trees by. These operators deal by bands of min-hashes
+# instead and judge each pair of a shard, unless it is joined already, by its share of equal
+# min-hashes alone. Of each min-hash two bits are kept: unequal ones agree in a quarter of all
+# cases, which is allowed for, and 512 of them take no more room than 128 whole bytes but tell
+# similarities apart better. Most pairs are told unlike by the first FEW words of 32 min-hashes.
 
 BANDS, ROWS, HASHES = 12, 4, 512
+FEW = 4
 _LOW_BITS = np.uint64(0x5555555555555555)
-#: Four standard deviations above what fingerprints of similarity 0.8 differ in.
-WIDE_RADIUS = 21
-#: Shards up to this size are trees; in larger ones most members are joined by pivots first.
+#: In shards up to this size all pairs are listed; in larger ones most members are joined by pivots first.
 TREE_LIMIT = 512
 #: Members of a shard that one task takes; larger shards are cut, and their classes' middles dealt once more.
 CUT = 50_000
@@ -279,7 +279,7 @@ def most_unequal(similarity: float) -> int:
 
 
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, node (MD5 of the text), fp, sig and bands of every row; a null text is empty."""
+    """doc_id, node (MD5 of the text), sig and bands of every row; a null text is empty."""
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -297,18 +297,22 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                         if len(known) >= 20_000:
                             known.clear()
                         hashes = shingle_hashes(text, words)
-                        known[node] = (node, fingerprint(hashes), *signature(hashes))
+                        known[node] = (node, *signature(hashes))
                     rows.append(known[node])
-                kinds = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "node", "fp", "sig", "bands"])
+                kinds = [pa.binary(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "node", "sig", "bands"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id bigint, node binary, fp bigint, sig binary, bands array<bigint>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id bigint, node binary, sig binary, bands array<bigint>")
 
 
 def _alike(sigs: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs have at most ``most`` unequal min-hashes; pairs that have more among their first ones end there."""
     out = np.zeros(len(a), bool)
+    few = np.ascontiguousarray(sigs[:, :FEW])
     for at in range(0, len(a), 1 << 16):
-        out[at : at + (1 << 16)] = unequal(sigs[a[at : at + (1 << 16)]], sigs[b[at : at + (1 << 16)]]) <= most
+        x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+        left = np.flatnonzero(unequal(few[x], few[y]) <= most)
+        out[at + left[unequal(sigs[x[left]], sigs[y[left]]) <= most]] = True
     return out
 
 
@@ -318,9 +322,9 @@ def _middle(sigs: np.ndarray) -> int:
     return int(np.bitwise_count(sigs ^ np.packbits(2 * ones > len(sigs)).view("<u8")).sum(axis=1).argmin())
 
 
-def _large_classes(values: np.ndarray, sigs: np.ndarray, label: np.ndarray, most: int) -> None:
+def _large_classes(sigs: np.ndarray, label: np.ndarray, most: int) -> None:
     """Join a large shard's members: pivots in the middle take most of them; then all outside the largest class meet all others."""
-    everyone = np.arange(len(values))
+    everyone = np.arange(len(sigs))
     pool = everyone
     while len(pool) > TREE_LIMIT:
         pivot = int(pool[_middle(sigs[pool])])
@@ -331,43 +335,47 @@ def _large_classes(values: np.ndarray, sigs: np.ndarray, label: np.ndarray, most
             break
         pool = rest
     classes, sizes = np.unique(label, return_counts=True)
+    few = np.ascontiguousarray(sigs[:, :FEW])
     for q in everyone[label != classes[sizes.argmax()]]:
-        near = np.flatnonzero((np.bitwise_count(values ^ values[q]) <= WIDE_RADIUS) & (label != label[q]))
+        near = np.flatnonzero((unequal(few, few[q]) <= most) & (label != label[q]))
         near = near[unequal(sigs[near], sigs[q]) <= most]
         union(label, near, np.full(len(near), q))
 
 
-def similar_classes(values: np.ndarray, sigs: np.ndarray, shard: np.ndarray, similarity: float) -> np.ndarray:
+def similar_classes(sigs: np.ndarray, shard: np.ndarray, similarity: float) -> np.ndarray:
     """Labels that join similar members of each shard; members are ordered by shard."""
     most = most_unequal(similarity)
-    label = np.arange(len(values))
+    label = np.arange(len(sigs))
     first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
     size = np.diff(np.r_[first, len(shard)])
     for a, n in zip(first[size > TREE_LIMIT], size[size > TREE_LIMIT], strict=True):
         own = np.arange(n)
-        _large_classes(values[a : a + n], sigs[a : a + n], own, most)
+        _large_classes(sigs[a : a + n], own, most)
         label[a : a + n] = own + a
+    start = np.repeat(first, size)
     small = np.flatnonzero(np.repeat((size > 1) & (size <= TREE_LIMIT), size))
-    if len(small):
-        forest, own = BkForest(values[small], shard[small]), np.arange(len(small))
-        for at in range(0, len(small), 2048):
-            a, b = forest.pairs(np.arange(at, min(at + 2048, len(small))), WIDE_RADIUS)
-            good = _alike(sigs, small[a], small[b], most)
-            union(own, a[good], b[good])
-        label[small] = small[own]
+    for at in range(0, len(small), 2048):
+        q = small[at : at + 2048]
+        many = q - start[q]  # pairs with those before in the shard
+        a = np.repeat(q, many)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[q], many)
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        good = _alike(sigs, a, b, most)
+        union(label, a[good], b[good])
     return label
 
 
 def _similar_links(shards: DataFrame, similarity: float) -> DataFrame:
-    """From rows (shard, node, fp, sig): links u > v, a star for each class that a shard holds."""
+    """From rows (shard, node, sig): links u > v, a star for each class that a shard holds."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def links(rows: list[tuple]):
-            keys, nodes, fps, sigs = zip(*rows, strict=True)
+            keys, nodes, sigs = zip(*rows, strict=True)
             keys, sigs = np.array(keys, np.int64), np.frombuffer(b"".join(sigs), "<u8").reshape(-1, HASHES // 32)
-            label = similar_classes(np.array(fps, np.int64).view("<u8"), sigs, keys, similarity)
+            label = similar_classes(sigs, keys, similarity)
             moved = np.flatnonzero(label != np.arange(len(label)))
             pairs = [(nodes[i], nodes[j]) for i, j in zip(moved.tolist(), label[moved].tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.binary()), pa.array([min(p) for p in pairs], pa.binary())], names=["u", "v"])
@@ -382,7 +390,7 @@ def _similar_links(shards: DataFrame, similarity: float) -> DataFrame:
         if rows:
             yield links(rows)
 
-    return shards.select("shard", "node", "fp", "sig").repartition("shard").sortWithinPartitions("shard", "fp", "node").mapInArrow(run, "u binary, v binary")
+    return shards.select("shard", "node", "sig").repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "u binary, v binary")
 
 
 def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
@@ -393,7 +401,7 @@ def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
     classes are joined, else by the band and each other one of the text, which tells texts apart
     that share a common passage and little else.
     """
-    shards = distinct.select("node", "fp", "sig", "bands", F.explode("bands").alias("shard"))
+    shards = distinct.select("node", "sig", "bands", F.explode("bands").alias("shard"))
     crowded = lambda rows: materialize(rows.groupBy("shard").agg(F.count("*").alias("__n")).filter(F.col("__n") > CUT), "crowded")
     hot = crowded(shards)
     if hot.isEmpty():
@@ -419,7 +427,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     """
     rows = signatures(docs, words, id_col, text_col)
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-    distinct = materialize(rows.groupBy("node").agg(smallest, F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "distinct")
+    distinct = materialize(rows.groupBy("node").agg(smallest, F.first("sig").alias("sig"), F.first("bands").alias("bands")), "distinct")
     stars = components(similar_links(distinct, similarity))
     named = distinct.select("node", "first").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     best = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first", "node")).alias("best"))

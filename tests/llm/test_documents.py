@@ -336,6 +336,38 @@ def test_a_common_passage_is_no_copy(spark, monkeypatch):
     assert got == {10 * k for k in range(300)}
 
 
+def test_a_repeated_phrase_hides_no_copy(spark):
+    """A phrase that one copy repeats doesn't count in sets of shingles, however far it moves a fingerprint of all shingles; in small and large shards."""
+    pick = random.Random(8)
+    rows = []
+    for k in range(40):
+        words, phrase = ([f"w{pick.randrange(10**6)}" for _ in range(n)] for n in (800, 5))
+        rows += [(10 * k, " ".join(words + phrase)), (10 * k + 1, " ".join(words + 38 * phrase))]
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()) == [10 * k for k in range(40)]
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_shards_join_all_alike(monkeypatch, large):
+    """Classes of a shard are those of all its pairs, with trees' limit above and below its size."""
+    if large:
+        monkeypatch.setattr(simhash, "TREE_LIMIT", 16)
+    random_ = np.random.default_rng(5)
+    sizes = [300, 1, 90, 2]
+    shard = np.repeat(np.arange(len(sizes)), sizes)
+    kinds = random_.integers(0, 256, (40, simhash.HASHES // 4)).astype("u1")
+    sigs = kinds[random_.integers(0, 40, len(shard))].copy()
+    for row in sigs:
+        at = random_.choice(sigs.shape[1], random_.integers(0, 35), replace=False)
+        row[at] = random_.integers(0, 256, len(at))
+    sigs = sigs.view("<u8")
+    most, want = simhash.most_unequal(0.8), Classes(range(len(shard)))
+    for i in range(len(shard)):
+        for j in np.flatnonzero((shard[:i] == shard[i]) & (simhash.unequal(sigs[:i], sigs[i]) <= most)).tolist():
+            want.join(i, j)
+    got = simhash.similar_classes(sigs, shard, 0.8)
+    assert got.tolist() == [want.find(i) for i in range(len(shard))]
+
+
 # --- language model --------------------------------------------------------------------
 
 
