@@ -241,7 +241,7 @@ FEW = 4
 _LOW_BITS = np.uint64(0x5555555555555555)
 #: In shards up to this size all pairs are listed; in larger ones most members are joined by pivots first.
 TREE_LIMIT = 512
-#: Members of a shard that one task takes; larger shards are cut, and their classes' middles dealt once more.
+#: Members of a shard that one task takes; larger shards are cut, and each two cuts are dealt together.
 CUT = 50_000
 
 
@@ -396,25 +396,20 @@ def _similar_links(shards: DataFrame, similarity: float) -> DataFrame:
 def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
     """Links between texts that share a band and most min-hashes, as far as components need them.
 
-    A band that more than CUT texts share is cut by hash, and the least member of each class found
-    in a cut is dealt once more: by the band alone if at most CUT are left, so that the cuts'
-    classes are joined, else by the band and each other one of the text, which tells texts apart
-    that share a common passage and little else.
+    A band that more than CUT texts share is cut by hash into parts of half of CUT, and each two
+    parts make a shard: any two of its texts meet in one at least, and no task gets more than some
+    CUT of them. For n texts that takes about 2 n / CUT copies of each.
     """
-    shards = distinct.select("node", "sig", "bands", F.explode("bands").alias("shard"))
-    crowded = lambda rows: materialize(rows.groupBy("shard").agg(F.count("*").alias("__n")).filter(F.col("__n") > CUT), "crowded")
-    hot = crowded(shards)
+    shards = distinct.select("node", "sig", "bands", F.explode("bands").alias("shard")).drop("bands")
+    hot = shards.groupBy("shard").agg(F.count("*").alias("__n")).filter(F.col("__n") > CUT)
+    hot = materialize(hot.select("shard", F.ceil(2 * F.col("__n") / CUT).alias("__parts")), "crowded")
     if hot.isEmpty():
         return _similar_links(shards, similarity)
-    parts = salted_left_join(shards, hot, ["shard"], [F.col("node")])
-    cut = F.when(F.col("__n").isNull(), F.col("shard")).otherwise(F.xxhash64("shard", F.pmod(F.xxhash64("node"), F.ceil(F.col("__n") / CUT))))
-    first = materialize(_similar_links(parts.withColumn("shard", cut), similarity), "links")
-    inner = first.select(F.col("u").alias("node")).distinct()
-    heads = materialize(parts.filter("__n is not null").drop("__n").join(inner, "node", "left_anti"), "heads")
-    split = salted_left_join(heads, crowded(heads), ["shard"], [F.col("node")])
-    others = F.transform(F.array_remove("bands", F.col("shard")), lambda b: F.xxhash64(F.col("shard"), b))
-    finer = split.withColumn("shard", F.explode(F.when(F.col("__n").isNull(), F.array("shard")).otherwise(others)))
-    return first.union(_similar_links(finer, similarity))
+    dealt = salted_left_join(shards, hot, ["shard"], [F.col("node")]).withColumn("__part", F.pmod(F.xxhash64("node"), "__parts"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1), lambda k: k != F.col("__part"))
+    pairs = F.transform(others, lambda k: F.xxhash64("shard", F.least(k, "__part"), F.greatest(k, "__part")))
+    shard = F.explode(F.when(F.col("__parts").isNull(), F.array("shard")).otherwise(pairs))
+    return _similar_links(dealt.select("node", "sig", shard.alias("shard")), similarity)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

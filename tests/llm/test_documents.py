@@ -368,6 +368,30 @@ def test_shards_join_all_alike(monkeypatch, large):
     assert got.tolist() == [want.find(i) for i in range(len(shard))]
 
 
+def test_cuts_of_a_crowded_band_lose_no_link(spark, monkeypatch):
+    """Any two texts of a band over CUT meet, also where chains of links cross cuts and where they share no other band."""
+    monkeypatch.setattr(simhash, "CUT", 30)
+    random_ = np.random.default_rng(3)
+    sig = random_.integers(0, 256, simhash.HASHES // 4).astype("u1")
+    rows = []
+    for k in range(300):  # chains of 10: each a step from the one before, beyond the similarity of the next but one
+        sig = sig.copy() if k % 10 else random_.integers(0, 256, len(sig)).astype("u1")
+        at = np.arange(16 * (k % 10) % len(sig), 16 * (k % 10) % len(sig) + 16)
+        sig[at] ^= 0xFF
+        rows.append((hashlib.md5(str(k).encode()).digest(), sig.tobytes(), [7, 1000 + k]))
+    distinct = spark.createDataFrame(rows, "node binary, sig binary, bands array<bigint>")
+    nodes, sigs, most = [n for n, _, _ in rows], np.frombuffer(b"".join(s for _, s, _ in rows), "<u8").reshape(len(rows), -1), simhash.most_unequal(0.8)
+    want, got = Classes(nodes), Classes(nodes)
+    for i in range(len(rows)):
+        for j in np.flatnonzero(simhash.unequal(sigs[:i], sigs[i]) <= most).tolist():
+            want.join(nodes[i], nodes[j])
+    for u, v in simhash.similar_links(distinct, 0.8).collect():
+        assert u > v
+        got.join(bytes(u), bytes(v))
+    assert [got.find(n) for n in nodes] == [want.find(n) for n in nodes]
+    assert len({want.find(n) for n in nodes}) == 30
+
+
 # --- language model --------------------------------------------------------------------
 
 
