@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ def period_line(p: Column) -> Column:
     return F.concat(p["name"], F.lit(": "), p["shortForecast"], F.lit(", "), hilo, F.lit(" "), p["temperature"].cast("string"), p["temperatureUnit"], F.lit("."))
 
 
-def weather_lines(payloads: DataFrame, body: str = "body", periods: int = 3) -> DataFrame:
+def weather_lines(payloads: DataFrame, body: str = "body", periods: int = 3, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys.., pos, line) of each payload's first periods."""
     found = F.from_json(F.col(body), FORECAST)["properties"]["periods"]
-    return payloads.select(F.posexplode(F.transform(F.slice(found, 1, periods), lambda p: F.substring(period_line(p), 1, LINE_CHARS))).alias("pos", "line"))
+    return payloads.select(*keys, F.posexplode(F.transform(F.slice(found, 1, periods), lambda p: F.substring(period_line(p), 1, LINE_CHARS))).alias("pos", "line"))

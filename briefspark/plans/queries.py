@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefspark.functions import dates, text
-from briefspark.operators import archive, diffing, market, profile, ranking, selection, validation
+from briefspark.operators import archive, diffing, market, profile, ranking, selection, validation, weather
 
 NOW = "timestamp_ntz'2024-01-30 00:00:00'"
 SQL_NOW = "TIMESTAMP '2024-01-30 00:00:00'"
@@ -253,15 +253,15 @@ FROM part p LEFT JOIN f ON p.p_name = f.p_name WHERE p.p_size <= 5"""
 
 def seen_url_append(spark, d):
     events = _t(spark, d, "events")
-    of = lambda a, b: events.filter((F.col("ts") >= F.lit(a).cast("date")) & (F.col("ts") < F.lit(b).cast("date")))
-    found = profile.unseen(of("2024-01-30", "2024-01-31"), of("2024-01-28", "2024-01-30"), ["user_id", "props"], [F.col("ts"), F.col("event_id")])
+    today = F.lit("2024-01-30").cast("date")
+    found = profile.unseen(events.filter(F.col("ts") >= today), events.filter(F.col("ts") < today), ["user_id", "props"], [F.col("ts"), F.col("event_id")])
     return found.select("user_id", "props", "event_id", "ts")
 
 
 SEEN = """
-WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id, props ORDER BY ts, event_id) AS rn FROM events WHERE ts >= DATE '2024-01-30' AND ts < DATE '2024-01-31')
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id, props ORDER BY ts, event_id) AS rn FROM events WHERE ts >= DATE '2024-01-30')
 SELECT user_id, props, event_id, ts FROM n WHERE rn = 1 AND NOT EXISTS (
-  SELECT 1 FROM events s WHERE s.user_id = n.user_id AND s.props = n.props AND s.ts >= DATE '2024-01-28' AND s.ts < DATE '2024-01-30')"""
+  SELECT 1 FROM events s WHERE s.user_id = n.user_id AND s.props = n.props AND s.ts < DATE '2024-01-30')"""
 
 
 def _local_events(spark, d):
@@ -343,12 +343,17 @@ SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PAR
 
 
 def first_periods(spark, d):
-    found = selection.newest_per_group(_t(spark, d, "conversations"), ["conv_id"], [F.col("turn")], 3)
-    return found.select("conv_id", F.col("rank").cast("long").alias("rank"), F.concat(F.col("role"), F.lit(": "), F.substring("text", 1, 40), F.lit(".")).alias("line"))
+    """Conversations as forecasts: a period for each of the first five turns, of which three are shown."""
+    turns = selection.newest_per_group(_t(spark, d, "conversations"), ["conv_id"], [F.col("turn")], 5)
+    period = F.struct(F.col("role").alias("name"), F.col("text").alias("shortForecast"), (F.col("role") == "user").alias("isDaytime"), F.col("turn").cast("int").alias("temperature"), F.lit("F").alias("temperatureUnit"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("turn", period.alias("p")))), lambda x: x["p"])
+    payloads = turns.groupBy("conv_id").agg(F.to_json(F.struct(F.struct(listed.alias("periods")).alias("properties"))).alias("body"))
+    return weather.weather_lines(payloads, keys=["conv_id"]).select("conv_id", F.col("pos").cast("long").alias("pos"), "line")
 
 
 PERIODS = """
-SELECT conv_id, rank, role || ': ' || substr(text, 1, 40) || '.' AS line FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations) WHERE rank <= 3"""
+SELECT conv_id, pos, substr(role || ': ' || text || ', ' || CASE WHEN role = 'user' THEN 'high' ELSE 'low' END || ' ' || turn::VARCHAR || 'F.', 1, 200) AS line
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations) WHERE pos < 3"""
 
 
 def prior_coverage(spark, d):
@@ -405,12 +410,19 @@ LONG_DATES = "SELECT DISTINCT o_orderdate::DATE::VARCHAR AS iso, strftime(o_orde
 
 def escaped_links(spark, d):
     pages = _t(spark, d, "pages")
-    return pages.select("page_id", text.safe_url(F.col("url")).alias("href"), text.escape_html(F.substring("html", 1, 300)).alias("escaped"))
+    escaped = text.escape_html(F.col("html"))
+    return pages.select("page_id", text.safe_url(F.col("url")).alias("href"), F.length(escaped).cast("long").alias("n_escaped"), F.sha2(escaped, 256).alias("escaped_sha256"))
 
 
-ESCAPED = """
-SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') ELSE '#' END AS href,
-  replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM pages"""
+def _escaped_sql(c):
+    for plain, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        c = f"replace({c}, '{plain}', '{code}')"
+    return c
+
+
+ESCAPED = f"""
+WITH e AS (SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN {_escaped_sql("url")} ELSE '#' END AS href, {_escaped_sql("html")} AS escaped FROM pages)
+SELECT page_id, href, length(escaped)::BIGINT AS n_escaped, sha256(escaped) AS escaped_sha256 FROM e"""
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "recent_items_24h": (recent_items_24h, RECENT),
