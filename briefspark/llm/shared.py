@@ -62,6 +62,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_of(df: DataFrame, name: str = "row") -> Column:
+    """All columns of ``df`` as one struct: beside it columns may have any names without a clash."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias(name)
+
+
 def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread_on: list[Column], salts: int = 16) -> DataFrame:
     """Left equi-join that spreads the rows of a hot key over ``salts`` tasks; ``right`` has one row a key.
 
