@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from briefspark.llm.components import components
-from briefspark.llm.shared import materialize, salted_left_join, table
+from briefspark.llm.shared import materialize, row_of, salted_left_join, table
 
 SEED = 42
 SHARD_LIMIT = 20_000
@@ -231,18 +231,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
 #
 # Fingerprints of texts whose sets of shingles overlap by 0.8 differ in some ten of 64 bits, too
 # many to deal by blocks of bits or to walk trees by. These operators deal by bands of min-hashes
-# instead and judge each pair of a shard, unless it is joined already, by its share of equal
-# min-hashes alone. Of each min-hash two bits are kept: unequal ones agree in a quarter of all
-# cases, which is allowed for, and 512 of them take no more room than 128 whole bytes but tell
-# similarities apart better. Most pairs are told unlike by the first FEW words of 32 min-hashes.
-
-BANDS, ROWS, HASHES = 12, 4, 512
+# instead. Of each min-hash two bits are kept: unequal ones agree in a quarter of all cases, which
+# is allowed for, and 512 of them take no more room than 128 whole bytes but tell similarities
+# apart better. They settle pairs that are SIGMAS standard deviations from the asked similarity;
+# pairs between, unless joined already, are judged by their sets of shingles. Texts that share no
+# band with another leave before signatures are dealt.
+
+BANDS, ROWS, HASHES = 16, 4, 512
+SIGMAS = 4.5
+#: Words of a signature by which most pairs are told unlike.
 FEW = 4
 _LOW_BITS = np.uint64(0x5555555555555555)
 #: In shards up to this size all pairs are listed; in larger ones most members are joined by pivots first.
 TREE_LIMIT = 512
-#: Members of a shard that one task takes; larger shards are cut, and each two cuts are dealt together.
-CUT = 50_000
+#: Members, and bytes of sets, that one task takes; larger shards are cut, and each two cuts are dealt together.
+CUT, CUT_BYTES = 50_000, 64 << 20
+#: Texts asked for by name that are sent to every task, some 10 MB; more are joined by key.
+SENT_NODES = 100_000
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -250,12 +255,16 @@ def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     return random.integers(0, 1 << 32, (2, HASHES), dtype=np.uint64).astype(np.uint32)[:, :, None] | np.array([[[1]], [[0]]], np.uint32)
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, ascending; one stands for no words."""
+    hashes = np.unique(shingle_hashes(text, words))
+    return hashes if len(hashes) else np.zeros(1, "<u8")
+
+
 def signature(hashes: np.ndarray) -> tuple[bytes, list[int]]:
     """Two bits of each min-hash of a set of shingles, and the keys of its bands."""
     import xxhash
 
-    if not len(hashes):
-        hashes = np.zeros(1, "<u8")
     factor, offset = _multipliers()
     least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     x = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
@@ -274,8 +283,15 @@ def unequal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | x >> np.uint64(1)) & _LOW_BITS).sum(axis=-1)
 
 
-def most_unequal(similarity: float) -> int:
-    return int(HASHES * (1 - similarity) * 0.75)
+def unequal_limits(similarity: float) -> tuple[int, int]:
+    """Up to how many unequal min-hashes a pair surely is alike, and beyond how many it surely isn't."""
+    share = (1 - similarity) * 0.75
+    spread = SIGMAS * np.sqrt(HASHES * share * (1 - share))
+    return int(HASHES * share - spread), int(np.ceil(HASHES * share + spread))
+
+
+def _text_node(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -296,8 +312,7 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                     if node not in known:
                         if len(known) >= 20_000:
                             known.clear()
-                        hashes = shingle_hashes(text, words)
-                        known[node] = (node, *signature(hashes))
+                        known[node] = (node, *signature(shingle_set(text, words)))
                     rows.append(known[node])
                 kinds = [pa.binary(), pa.binary(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "node", "sig", "bands"])
@@ -305,30 +320,19 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id bigint, node binary, sig binary, bands array<bigint>")
 
 
-def _alike(sigs: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Which pairs have at most ``most`` unequal min-hashes; pairs that have more among their first ones end there."""
-    out = np.zeros(len(a), bool)
-    few = np.ascontiguousarray(sigs[:, :FEW])
-    for at in range(0, len(a), 1 << 16):
-        x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-        left = np.flatnonzero(unequal(few[x], few[y]) <= most)
-        out[at + left[unequal(sigs[x[left]], sigs[y[left]]) <= most]] = True
-    return out
-
-
 def _middle(sigs: np.ndarray) -> int:
     """The member that agrees most with what most members have at each bit."""
     ones = sum(np.unpackbits(part.view("u1"), axis=1).sum(axis=0, dtype=np.int64) for part in np.array_split(sigs, -(-len(sigs) // 4096)))
     return int(np.bitwise_count(sigs ^ np.packbits(2 * ones > len(sigs)).view("<u8")).sum(axis=1).argmin())
 
 
-def _large_classes(sigs: np.ndarray, label: np.ndarray, most: int) -> None:
+def _large_classes(sigs: np.ndarray, label: np.ndarray, doubt: np.ndarray, sure: int, maybe: int) -> None:
     """Join a large shard's members: pivots in the middle take most of them; then all outside the largest class meet all others."""
     everyone = np.arange(len(sigs))
     pool = everyone
     while len(pool) > TREE_LIMIT:
         pivot = int(pool[_middle(sigs[pool])])
-        near = everyone[unequal(sigs, sigs[pivot]) <= most]
+        near = everyone[unequal(sigs, sigs[pivot]) <= sure]
         union(label, near, np.full(len(near), pivot))
         rest = pool[label[pool] != label[pivot]]
         if len(rest) > 0.95 * len(pool):
@@ -337,22 +341,28 @@ def _large_classes(sigs: np.ndarray, label: np.ndarray, most: int) -> None:
     classes, sizes = np.unique(label, return_counts=True)
     few = np.ascontiguousarray(sigs[:, :FEW])
     for q in everyone[label != classes[sizes.argmax()]]:
-        near = np.flatnonzero((unequal(few, few[q]) <= most) & (label != label[q]))
-        near = near[unequal(sigs[near], sigs[q]) <= most]
-        union(label, near, np.full(len(near), q))
+        near = np.flatnonzero((unequal(few, few[q]) <= maybe) & (label != label[q]))
+        far = unequal(sigs[near], sigs[q])
+        alike, between = near[far <= sure], near[(far > sure) & (far <= maybe)]
+        if len(between):
+            doubt[between] = doubt[q] = True
+        union(label, alike, np.full(len(alike), q))
 
 
-def similar_classes(sigs: np.ndarray, shard: np.ndarray, similarity: float) -> np.ndarray:
-    """Labels that join similar members of each shard; members are ordered by shard."""
-    most = most_unequal(similarity)
-    label = np.arange(len(sigs))
+def similar_classes(sigs: np.ndarray, shard: np.ndarray, sure: int, maybe: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labels that join surely similar members of each shard, and which members may be similar to one of another class.
+
+    Members are ordered by shard.
+    """
+    label, doubt = np.arange(len(sigs)), np.zeros(len(sigs), bool)
     first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
     size = np.diff(np.r_[first, len(shard)])
     for a, n in zip(first[size > TREE_LIMIT], size[size > TREE_LIMIT], strict=True):
         own = np.arange(n)
-        _large_classes(sigs[a : a + n], own, most)
+        _large_classes(sigs[a : a + n], own, doubt[a : a + n], sure, maybe)
         label[a : a + n] = own + a
     start = np.repeat(first, size)
+    few = np.ascontiguousarray(sigs[:, :FEW])
     small = np.flatnonzero(np.repeat((size > 1) & (size <= TREE_LIMIT), size))
     for at in range(0, len(small), 2048):
         q = small[at : at + 2048]
@@ -361,77 +371,186 @@ def similar_classes(sigs: np.ndarray, shard: np.ndarray, similarity: float) -> n
         b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[q], many)
         apart = label[a] != label[b]
         a, b = a[apart], b[apart]
-        good = _alike(sigs, a, b, most)
-        union(label, a[good], b[good])
-    return label
-
-
-def _similar_links(shards: DataFrame, similarity: float) -> DataFrame:
-    """From rows (shard, node, sig): links u > v, a star for each class that a shard holds."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        def links(rows: list[tuple]):
-            keys, nodes, sigs = zip(*rows, strict=True)
-            keys, sigs = np.array(keys, np.int64), np.frombuffer(b"".join(sigs), "<u8").reshape(-1, HASHES // 32)
-            label = similar_classes(sigs, keys, similarity)
-            moved = np.flatnonzero(label != np.arange(len(label)))
-            pairs = [(nodes[i], nodes[j]) for i, j in zip(moved.tolist(), label[moved].tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.binary()), pa.array([min(p) for p in pairs], pa.binary())], names=["u", "v"])
-
+        for k in range(0, len(a), 1 << 16):
+            x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+            left = unequal(few[x], few[y]) <= maybe
+            x, y = x[left], y[left]
+            far = unequal(sigs[x], sigs[y])
+            union(label, x[far <= sure], y[far <= sure])
+            between = (far > sure) & (far <= maybe)
+            x, y = x[between], y[between]
+            apart = label[x] != label[y]
+            doubt[x[apart]] = doubt[y[apart]] = True
+    alone = np.minimum.reduceat(label, first) == np.maximum.reduceat(label, first) if len(first) else first
+    doubt[np.repeat(alone, size)] = False
+    return label, doubt
+
+
+def _by_shard(run, shards: DataFrame, schema: str, limit: int) -> DataFrame:
+    """Give whole shards to ``run``, (shard, node, column..) lists of some ``limit`` rows or bytes at a time, ordered by shard and node."""
+
+    def go(batches: Iterator) -> Iterator:
         rows: list[tuple] = []
+        held = 0
         for batch in batches:
             rows += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            if len(rows) >= CUT and rows[0][0] != rows[-1][0]:
+            held += batch.num_rows if limit == CUT else batch.nbytes
+            if held >= limit and rows[0][0] != rows[-1][0]:
                 end = next(i for i in range(len(rows) - 1, -1, -1) if rows[i][0] != rows[-1][0]) + 1
-                yield links(rows[:end])
-                rows = rows[end:]
+                yield from run(rows[:end])
+                held, rows = held * (len(rows) - end) // len(rows), rows[end:]
         if rows:
-            yield links(rows)
+            yield from run(rows)
 
-    return shards.select("shard", "node", "sig").repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "u binary, v binary")
+    return shards.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(go, schema)
 
 
-def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
-    """Links between texts that share a band and most min-hashes, as far as components need them.
+def _cut_crowds(rows: DataFrame, weights: DataFrame, limit: int) -> DataFrame:
+    """``rows`` (shard, node, ..) with shards heavier than ``limit`` cut by hash into parts of half of it, each two parts a shard.
 
-    A band that more than CUT texts share is cut by hash into parts of half of CUT, and each two
-    parts make a shard: any two of its texts meet in one at least, and no task gets more than some
-    CUT of them. For n texts that takes about 2 n / CUT copies of each.
+    ``weights`` (shard, weight) has every shard that is kept. Any two members of a shard meet in
+    one at least. For a weight w that takes about 2 w / limit copies of each.
     """
-    shards = distinct.select("node", "sig", "bands", F.explode("bands").alias("shard")).drop("bands")
-    hot = shards.groupBy("shard").agg(F.count("*").alias("__n")).filter(F.col("__n") > CUT)
-    hot = materialize(hot.select("shard", F.ceil(2 * F.col("__n") / CUT).alias("__parts")), "crowded")
-    if hot.isEmpty():
-        return _similar_links(shards, similarity)
-    dealt = salted_left_join(shards, hot, ["shard"], [F.col("node")]).withColumn("__part", F.pmod(F.xxhash64("node"), "__parts"))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1), lambda k: k != F.col("__part"))
-    pairs = F.transform(others, lambda k: F.xxhash64("shard", F.least(k, "__part"), F.greatest(k, "__part")))
-    shard = F.explode(F.when(F.col("__parts").isNull(), F.array("shard")).otherwise(pairs))
-    return _similar_links(dealt.select("node", "sig", shard.alias("shard")), similarity)
+    rest = [c for c in rows.columns if c != "shard"]
+    dealt = salted_left_join(rows, weights, ["shard"], [F.col("node")]).filter("weight is not null")
+    dealt = dealt.withColumn("parts", F.when(F.col("weight") > limit, F.ceil(2 * F.col("weight") / limit)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: k != F.col("part"))
+    pairs = F.transform(others, lambda k: F.xxhash64("shard", F.least(k, "part"), F.greatest(k, "part")))
+    return dealt.select(F.explode(F.when(F.col("parts").isNull(), F.array("shard")).otherwise(pairs)).alias("shard"), *rest)
+
+
+FOUND = "shard bigint, u binary, v binary"
+
+
+def _found_rows(rows: list[tuple]):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [(), (), ()], (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "u", "v"])
+
+
+def _star(nodes: list[bytes], label: np.ndarray) -> list[tuple]:
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    pairs = [(nodes[i], nodes[j]) for i, j in zip(moved.tolist(), label[moved].tolist(), strict=True)]
+    return [(None, max(p), min(p)) for p in pairs]
+
+
+def band_links(distinct: DataFrame, similarity: float) -> DataFrame:
+    """What the signatures (node, sig, bands) tell: links u > v without a shard, and members u of a shard in doubt.
+
+    For the latter v is the node that stands for u's class there. Bands that no other text shares
+    are left out before any signature is shuffled.
+    """
+    sure, maybe = unequal_limits(similarity)
+
+    def run(rows: list[tuple]) -> Iterator:
+        keys, nodes, sigs = zip(*rows, strict=True)
+        keys, sigs = np.array(keys, np.int64), np.frombuffer(b"".join(sigs), "<u8").reshape(-1, HASHES // 32)
+        label, doubt = similar_classes(sigs, keys, sure, maybe)
+        found = _star(nodes, label) + [(int(keys[i]), nodes[i], nodes[label[i]]) for i in np.flatnonzero(doubt).tolist()]
+        for at in range(0, len(found), 10_000):
+            yield _found_rows(found[at : at + 10_000])
+
+    places = distinct.select("node", F.explode("bands").alias("shard"))
+    shared = materialize(places.groupBy("shard").agg(F.count("*").alias("weight")).filter("weight > 1"), "shared")
+    dealt = _cut_crowds(places, shared, CUT)
+    dealt = dealt.join(distinct.select("node", "sig"), "node").select("shard", "node", "sig")
+    return _by_shard(run, dealt, FOUND, CUT)
+
+
+def exact_links(doubtful: DataFrame, similarity: float) -> DataFrame:
+    """Links between members (shard, node, root, sig, shingles) of a shard whose roots differ, judged by their sets of shingles."""
+    sure, maybe = unequal_limits(similarity)
+
+    def judge(nodes: list[bytes], roots: list[bytes], sigs: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+        least = {}
+        label = np.array([least.setdefault(r, i) for i, r in enumerate(roots)])
+        sizes = np.array([len(x) for x in sets])
+        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(sizes)
+        few, own = np.ascontiguousarray(sigs[:, :FEW]), np.zeros(len(values), bool)
+        for q in range(1, len(nodes)):
+            near = np.flatnonzero((label[:q] != label[q]) & (np.minimum(sizes[:q], sizes[q]) >= similarity * np.maximum(sizes[:q], sizes[q]) - 1e-9))
+            near = near[unequal(few[near], few[q]) <= maybe]
+            far = unequal(sigs[near], sigs[q])
+            near = near[(far > sure) & (far <= maybe)]
+            if not len(near):
+                continue
+            mine = ids[ends[q] - sizes[q] : ends[q]]
+            own[mine] = True
+            for p in near.tolist():
+                if label[p] != label[q]:
+                    both = int(own[ids[ends[p] - sizes[p] : ends[p]]].sum())
+                    if both >= similarity * (sizes[p] + sizes[q] - both) - 1e-9:
+                        union(label, np.array([p]), np.array([q]))
+            own[mine] = False
+        return label
+
+    def run(rows: list[tuple]) -> Iterator:
+        at, found = 0, []
+        while at < len(rows):
+            end = at
+            while end < len(rows) and rows[end][0] == rows[at][0]:
+                end += 1
+            _, nodes, roots, sigs, sets = zip(*rows[at:end], strict=True)
+            label = judge(nodes, roots, np.frombuffer(b"".join(sigs), "<u8").reshape(-1, HASHES // 32), [np.frombuffer(x, "<u8") for x in sets])
+            found += _star(nodes, label)
+            at = end
+        for k in range(0, len(found), 10_000):
+            yield _found_rows(found[k : k + 10_000])
+
+    weights = materialize(doubtful.groupBy("shard").agg(F.sum(F.octet_length("shingles").cast("long")).alias("weight")), "weights")
+    dealt = _cut_crowds(doubtful, weights, CUT_BYTES).select("shard", "node", "root", "sig", "shingles")
+    return _by_shard(run, dealt, FOUND, CUT_BYTES).select("u", "v")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of the texts that ``nodes`` (node, doc_id) names; no others' text is looked at."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", _text_node(F.col("text")))
+    few = nodes.count() <= SENT_NODES
+    asked = F.broadcast(nodes) if few else nodes.hint("merge")
+    rows = texts.join(asked, (F.col("key") == F.col("node")) & F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "text")
+    return rows.mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group of exact and near copies the row with the smallest id, with all its columns.
 
-    Texts are alike if, by the share of equal min-hashes of 512, their sets of shingles overlap
-    by ``similarity`` or more; groups are components of such pairs. Case of A-Z and white space
-    don't count. Null and wordless texts are one group. Of repeated rows one stays; a null id
-    stays only if its group has no other.
+    Texts are alike if their sets of shingles overlap by ``similarity`` or more; groups are
+    components of such pairs. Pairs that share no band of min-hashes aren't found (at 0.8 two in
+    ten thousand). Case of A-Z and white space don't count. Null and wordless texts are one
+    group. Of repeated rows one stays; a null id stays only if its group has no other. The columns
+    of ``docs`` may have any names.
     """
     rows = signatures(docs, words, id_col, text_col)
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
     distinct = materialize(rows.groupBy("node").agg(smallest, F.first("sig").alias("sig"), F.first("bands").alias("bands")), "distinct")
-    stars = components(similar_links(distinct, similarity))
+    found = materialize(band_links(distinct.select("node", "sig", "bands"), similarity), "found")
+    links = found.filter("shard is null").select("u", "v")
+    doubt = found.filter("shard is not null").select("shard", F.col("u").alias("node"), F.col("v").alias("root"))
+    if not doubt.isEmpty():
+        nodes = materialize(doubt.select("node").distinct().join(distinct.select("node", F.col("first.doc_id").alias("doc_id"), "sig"), "node"), "doubtful")
+        sets = materialize(shingle_sets(docs, nodes.select("node", "doc_id"), words, id_col, text_col), "sets")
+        whole = nodes.select("node", "sig").join(sets, "node")
+        links = links.union(exact_links(materialize(doubt.join(whole, "node"), "doubtful"), similarity))
+    stars = components(links)
     named = distinct.select("node", "first").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     best = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first", "node")).alias("best"))
-    keep = best.select(F.col("best.first.doc_id").alias("__keep_id"), F.col("best.node").alias("__keep_node"))
-    node = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
-    kept = docs.withColumns({"__id": F.col(id_col).cast("long"), "__node": node})
-    kept = kept.join(keep, (F.col("__node") == F.col("__keep_node")) & F.col("__id").eqNullSafe(F.col("__keep_id")), "left_semi")
-    first = Window.partitionBy("__id", "__node").orderBy(F.lit(0))
-    return kept.withColumn("__k", F.row_number().over(first)).filter("__k = 1").select(*docs.columns)
+    keep = best.select(F.col("best.first.doc_id").alias("keep_id"), F.col("best.node").alias("keep_node"))
+    kept = docs.select(row_of(docs)).withColumns({"id": F.col("row")[id_col].cast("long"), "node": _text_node(F.col("row")[text_col])})
+    kept = kept.join(keep, (F.col("node") == F.col("keep_node")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+    first = Window.partitionBy("id", "node").orderBy(F.lit(0))
+    return kept.withColumn("k", F.row_number().over(first)).filter("k = 1").select("row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

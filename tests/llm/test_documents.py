@@ -412,7 +412,7 @@ def test_a_repeated_phrase_hides_no_copy(spark):
 
 @pytest.mark.parametrize("large", [False, True])
 def test_shards_join_all_alike(monkeypatch, large):
-    """Classes of a shard are those of all its pairs, with trees' limit above and below its size."""
+    """Classes of a shard are those of all its pairs, and all between are in doubt, with the limit of all pairs above and below its size."""
     if large:
         monkeypatch.setattr(simhash, "TREE_LIMIT", 16)
     random_ = np.random.default_rng(5)
@@ -421,15 +421,23 @@ def test_shards_join_all_alike(monkeypatch, large):
     kinds = random_.integers(0, 256, (40, simhash.HASHES // 4)).astype("u1")
     sigs = kinds[random_.integers(0, 40, len(shard))].copy()
     for row in sigs:
-        at = random_.choice(sigs.shape[1], random_.integers(0, 35), replace=False)
+        at = random_.choice(sigs.shape[1], random_.integers(0, 25), replace=False)
         row[at] = random_.integers(0, 256, len(at))
     sigs = sigs.view("<u8")
-    most, want = simhash.most_unequal(0.8), Classes(range(len(shard)))
+    sure, maybe = simhash.unequal_limits(0.8)
+    assert sure < simhash.HASHES * 0.15 < maybe
+    want, between = Classes(range(len(shard))), []
     for i in range(len(shard)):
-        for j in np.flatnonzero((shard[:i] == shard[i]) & (simhash.unequal(sigs[:i], sigs[i]) <= most)).tolist():
-            want.join(i, j)
-    got = simhash.similar_classes(sigs, shard, 0.8)
+        far = simhash.unequal(sigs[:i], sigs[i])
+        for j in np.flatnonzero((shard[:i] == shard[i]) & (far <= maybe)).tolist():
+            if far[j] <= sure:
+                want.join(i, j)
+            else:
+                between.append((i, j))
+    got, doubt = simhash.similar_classes(sigs, shard, sure, maybe)
     assert got.tolist() == [want.find(i) for i in range(len(shard))]
+    needed = {k for i, j in between if want.find(i) != want.find(j) for k in (i, j)}
+    assert needed and needed <= set(np.flatnonzero(doubt).tolist())
 
 
 def test_cuts_of_a_crowded_band_lose_no_link(spark, monkeypatch):
@@ -440,20 +448,92 @@ def test_cuts_of_a_crowded_band_lose_no_link(spark, monkeypatch):
     rows = []
     for k in range(300):  # chains of 10: each a step from the one before, beyond the similarity of the next but one
         sig = sig.copy() if k % 10 else random_.integers(0, 256, len(sig)).astype("u1")
-        at = np.arange(16 * (k % 10) % len(sig), 16 * (k % 10) % len(sig) + 16)
+        at = np.arange(8 * (k % 10) % len(sig), 8 * (k % 10) % len(sig) + 8)
         sig[at] ^= 0xFF
         rows.append((hashlib.md5(str(k).encode()).digest(), sig.tobytes(), [7, 1000 + k]))
     distinct = spark.createDataFrame(rows, "node binary, sig binary, bands array<bigint>")
-    nodes, sigs, most = [n for n, _, _ in rows], np.frombuffer(b"".join(s for _, s, _ in rows), "<u8").reshape(len(rows), -1), simhash.most_unequal(0.8)
-    want, got = Classes(nodes), Classes(nodes)
+    nodes, sigs = [n for n, _, _ in rows], np.frombuffer(b"".join(s for _, s, _ in rows), "<u8").reshape(len(rows), -1)
+    sure, maybe = simhash.unequal_limits(0.8)
+    want, got, between = Classes(nodes), Classes(nodes), set()
     for i in range(len(rows)):
-        for j in np.flatnonzero(simhash.unequal(sigs[:i], sigs[i]) <= most).tolist():
-            want.join(nodes[i], nodes[j])
-    for u, v in simhash.similar_links(distinct, 0.8).collect():
-        assert u > v
-        got.join(bytes(u), bytes(v))
+        far = simhash.unequal(sigs[:i], sigs[i])
+        for j in np.flatnonzero(far <= maybe).tolist():
+            if far[j] <= sure:
+                want.join(nodes[i], nodes[j])
+            else:
+                between |= {(nodes[i], nodes[j])}
+    found = simhash.band_links(distinct, 0.8).collect()
+    for r in found:
+        if r.shard is None:
+            assert r.u > r.v
+            got.join(bytes(r.u), bytes(r.v))
     assert [got.find(n) for n in nodes] == [want.find(n) for n in nodes]
     assert len({want.find(n) for n in nodes}) == 30
+    together = collections.defaultdict(set)
+    for r in found:
+        if r.shard is not None:
+            together[bytes(r.u)].add(r.shard)
+    assert all(together[a] & together[b] for a, b in between if want.find(a) != want.find(b))
+
+
+def exact_classes(texts, words=5, similarity=0.8):
+    """Components of all pairs whose sets of shingles overlap enough, found by their common shingles."""
+    sets, postings = {}, collections.defaultdict(list)
+    for k, t in texts.items():
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[k] = frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) or frozenset([tuple(w)])
+    classes, firsts = Classes(texts), {}
+    for k in sorted(sets):
+        classes.join(k, firsts.setdefault(sets[k], k))
+    alike = set()
+    for k in sorted(firsts.values()):
+        shared = collections.Counter(o for x in sets[k] for o in postings[x])
+        for o, n in shared.items():
+            if n >= similarity * (len(sets[k]) + len(sets[o]) - n) - 1e-9:
+                classes.join(k, o)
+                alike.add((o, k))
+        for x in sets[k]:
+            postings[x].append(k)
+    return classes, alike
+
+
+@pytest.mark.parametrize("cut", [None, 200])
+def test_pairs_at_the_edge_are_judged_exactly(spark, monkeypatch, cut):
+    """Pairs just above and just below 0.8, which min-hashes can't tell apart."""
+    if cut:
+        monkeypatch.setattr(simhash, "CUT_BYTES", 100 * cut)
+        monkeypatch.setattr(simhash, "SENT_NODES", 10)
+    pick = random.Random(21)
+    rows = []
+    for k in range(120):
+        words = [f"w{pick.randrange(10**6)}" for _ in range(204)]
+        # 200 shingles each; 22 new words at the end leave 178 of 222 (0.80), 23 leave 177 of 223 (0.79)
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[: -22 - k % 2] + [f"v{pick.randrange(10**6)}" for _ in range(22 + k % 2)]))]
+    classes, _ = exact_classes(dict(rows))
+    want = sorted(i for i, _ in rows if classes.find(i) == i)
+    assert 120 < len(want) < 240
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()) == want
+
+
+def test_near_copies_of_the_documents_exactly(spark):
+    """All documents of sf0.1 that pass the quality rules, against all pairs with a common shingle."""
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    docs = quality.quality_filter(spark.read.parquet(path))
+    kept = {r.doc_id for r in docs.select("doc_id").collect()}
+    texts = {r["doc_id"]: r["text"] for r in pq.read_table(path, columns=["doc_id", "text"]).to_pylist() if r["doc_id"] in kept}
+    classes, alike = exact_classes(texts)
+    got = {r.doc_id for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()}
+    assert got == {k for k in texts if classes.find(k) == k}
+    assert alike
+
+
+def test_near_copies_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 2.0, "y", True, b"n"), (2, "a b c", "x", 2.0, "y", True, b"n")], "doc_id bigint, text string, __id string, id double, __k string, row boolean, node binary")
+    got = simhash.drop_near_duplicates(docs)
+    assert got.schema.names == docs.schema.names and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+    assert [tuple(r) for r in got.collect()] == [(1, "a b c", "x", 2.0, "y", True, b"n")]
 
 
 # --- language model --------------------------------------------------------------------
