@@ -544,27 +544,47 @@ def test_scores_match_sql(spark, sf_dir):
 
 
 def brute_scores(texts):
+    """(by all texts, by all others) for each text."""
     docs = [(t or "").encode().lower().split() for t in texts]
-    grams = collections.Counter(tuple(w[i : i + n]) for w in docs for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    each = [collections.Counter(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)) for w in docs]
+    grams = sum(each, collections.Counter())
     total = sum(map(len, docs))
 
-    def score(history, word):
+    def score(count, everything, history, word):
         if not history:
-            return grams[(word,)] / total
-        n = grams[(*history, word)]
-        return n / grams[history] if n >= ngram_lm.LEAST_COUNT else ngram_lm.BACKOFF * score(history[1:], word)
+            return max(count((word,)), 1) / max(everything, 1)
+        n = count((*history, word))
+        return n / count(history) if n else ngram_lm.BACKOFF * score(count, everything, history[1:], word)
 
-    return [sum(np.log(score(tuple(w[max(0, i - 2) : i]), w[i])) for i in range(len(w))) for w in docs]
+    def both(w, own):
+        parts = [(tuple(w[max(0, i - 2) : i]), w[i]) for i in range(len(w))]
+        return [sum(float(np.log(score(count, n, *p))) for p in parts) for count, n in ((grams.__getitem__, total), (lambda g: grams[g] - own[g], total - len(w)))]
 
+    return [both(w, own) for w, own in zip(docs, each, strict=True)]
 
-@pytest.mark.parametrize(("block", "part"), [(8 << 20, 16 << 20), (40, 100)])
-def test_scores_against_brute_force(spark, tmp_path, monkeypatch, block, part):
+
+@pytest.mark.parametrize(("block", "part", "packed"), [(8 << 20, 16 << 20, None), (40, 100, None), (40, 100, 0)])
+def test_scores_against_brute_force(spark, monkeypatch, block, part, packed):
+    """Many small blocks or one, packed or a row an entry, from an input that is shuffled each time it is read."""
+    monkeypatch.setattr(ngram_lm, "BLOCK_BYTES", block)
     monkeypatch.setattr(ngram_lm, "PARTITION_BYTES", part)
     pick = random.Random(9)
-    texts = [" ".join(pick.choice(["a", "b", "c", "D", "é", "the"]) for _ in range(pick.randrange(12))) for _ in range(120)] + [None, "", " \n"]
-    documents(spark, [(k % 100, t) for k, t in enumerate(texts)]).coalesce(3).write.parquet(str(tmp_path / "d"))
-    got = sorted((r.doc_id, round(r.log_score, 6)) for r in ngram_lm.lm_scores(spark.read.parquet(str(tmp_path / "d"))).collect())
-    assert got == sorted((k % 100, round(float(s), 6)) for k, s in enumerate(brute_scores(texts)))
+    texts = [" ".join(pick.choice(["a", "b", "c", "D", "é", "the"]) for _ in range(pick.randrange(12))) for _ in range(120)] + [None, "", " \n", "lone words here", "a " * 5000]
+    rows = documents(spark, [(k % 100, t) for k, t in enumerate(texts)]).repartition(3)
+    got = sorted((r.doc_id, round(r.log_score, 5), round(r.others_log_score, 5)) for r in ngram_lm.lm_scores(rows, packed_bytes=packed).collect())
+    assert got == sorted((k % 100, *(round(x, 5) + 0.0 for x in s)) for k, s in enumerate(brute_scores(texts)))
+
+
+def test_rows_of_entries_grow_with_the_corpus(spark, monkeypatch):
+    """Beyond the packed size a corpus twice as large makes at most twice as many rows."""
+    monkeypatch.setattr(ngram_lm, "BLOCK_BYTES", 2000)
+    pick = random.Random(10)
+    counts = []
+    for n in (100, 200):
+        texts = [" ".join(f"w{pick.randrange(500)}" for _ in range(30)) for _ in range(n)]
+        blocks = [ngram_lm.BlockGrams(texts[k : k + 10]) for k in range(0, n, 10)]
+        counts.append(sum(len(b.keys) for b in blocks))
+    assert counts[1] < 2.1 * counts[0]
 
 
 def test_scores_of_nothing(spark):
@@ -572,7 +592,7 @@ def test_scores_of_nothing(spark):
 
 
 def test_planes():
-    values = np.sort(np.random.default_rng(0).integers(0, 1 << 56, 1000).astype(np.uint64))
+    values = np.sort(np.random.default_rng(0).integers(0, 1 << 64, 1000, dtype=np.uint64))
     assert (ngram_lm.from_ascending(ngram_lm.ascending(values)) == values).all()
     assert ngram_lm.from_planes(ngram_lm.planes(np.arange(9), 4), 4).tolist() == list(range(9))
 
