@@ -64,33 +64,51 @@ def word_hashes(text: str | None) -> np.ndarray:
 class BlockGrams:
     """The n-grams of some texts: per order an array over all words, and which of them begin within a text."""
 
-    def __init__(self, texts: list[str | None]) -> None:
+    def __init__(self, texts: list[str | None], with_places: bool = False) -> None:
         each = [word_hashes(t) for t in texts]
         self.lengths = np.array([len(w) for w in each], np.int64)
         words = np.concatenate(each) if each else np.zeros(0, "<u8")
+        del each
         starts = np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        self.place = np.arange(len(words)) - starts  # of a word in its text
-        self.grams = [_mix(words)]
+        place = np.arange(len(words)) - starts  # of a word in its text
+        grams = [_mix(words)]
         for n in range(1, ORDER):
             longer = np.zeros_like(words)
-            longer[1:] = _extend(self.grams[-1][:-1], words[1:])
-            self.grams.append(longer)
-        self.valid = [self.place >= n for n in range(ORDER)]
-        self.keys, self.counts = np.unique(np.concatenate([g[v] for g, v in zip(self.grams, self.valid, strict=True)]), return_counts=True)
+            longer[1:] = _extend(grams[-1][:-1], words[1:])
+            grams.append(longer)
+        self.valid = [place >= n for n in range(ORDER)]
+        found = np.concatenate([g[v] for g, v in zip(grams, self.valid, strict=True)])
+        del grams, place, starts
+        #: With places, per order where each word's n-gram stands in ``keys``; zero where none begins.
+        self.places: list[np.ndarray] = []
+        if with_places:
+            order = np.argsort(found)
+            found = found[order]
+        else:
+            found.sort()
+        first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.zeros(0, np.int64)
+        self.keys, self.counts = found[first], np.diff(np.r_[first, len(found)])
         at = int(np.searchsorted(self.keys, TOTAL))
+        if with_places:
+            spot = np.empty(len(found), np.int64)
+            spot[order] = np.repeat(np.arange(len(first)), self.counts)
+            spot += spot >= at
+            for v, part in zip(self.valid, np.split(spot, np.cumsum([v.sum() for v in self.valid])[:-1]), strict=True):
+                self.places.append(np.zeros(len(words), np.int64))
+                self.places[-1][v] = part
         self.keys = np.insert(self.keys, at, TOTAL)
         self.counts = np.insert(self.counts, at, len(words))
 
-    def _places(self, n: int) -> np.ndarray:
-        """Where each word's n-gram of this order stands in ``keys``; some place where none begins."""
-        return np.searchsorted(self.keys, self.grams[n]).clip(max=len(self.keys) - 1)
-
-    def _own(self, places: np.ndarray, valid: np.ndarray) -> np.ndarray:
-        """How often each word's n-gram is in the word's own text."""
-        out = np.zeros(len(places), np.int64)
-        text = np.repeat(np.arange(len(self.lengths)), self.lengths)[valid]
-        _, back, counts = np.unique(text * len(self.keys) + places[valid], return_inverse=True, return_counts=True)
-        out[valid] = counts[back]
+    def _own(self, places: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """How often the n-grams at ``places`` of some words are in these words' own texts."""
+        text = np.repeat(np.arange(len(self.lengths)), self.lengths)[words]
+        key = text * len(self.keys) + places
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        out = np.empty(len(key), np.int64)
+        many = np.diff(np.r_[first, len(key)])
+        out[order] = np.repeat(many, many)
         return out
 
     def _sums(self, count: list[np.ndarray], everything: np.ndarray | float) -> np.ndarray:
@@ -106,13 +124,15 @@ class BlockGrams:
 
     def scores(self, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per text the sum of its words' log scores, by all texts and by all others; ``totals`` are the corpus' counts in the order of ``keys``."""
-        if not len(self.place):
+        if not self.lengths.any():
             return np.zeros(len(self.lengths)), np.zeros(len(self.lengths))
         whole, others = [], []
         for k in range(ORDER):
-            places, valid = self._places(k), self.valid[k]
+            places, valid = self.places[k], self.valid[k]
             whole.append(np.where(valid, totals[places], 0))
-            others.append(whole[-1] - self._own(places, valid))
+            own, many = valid.astype(np.int64), whole[-1] > 1  # what occurs once occurs here
+            own[many] = self._own(places[many], many)
+            others.append(whole[-1] - own)
         everything = int(totals[np.searchsorted(self.keys, TOTAL)])
         floor = np.maximum(others[0], 1)
         rest = np.maximum(everything - np.repeat(self.lengths, self.lengths), 1)
@@ -188,13 +208,13 @@ def _write_blocks(folder: str):
     return run
 
 
-def _block(folder: str, name: str) -> tuple:
+def _block(folder: str, name: str, with_places: bool = False) -> tuple:
     import pyarrow as pa
 
     system, place = file_system(folder)
     with system.open_input_file(f"{place}/{name}") as source:
         data = pa.ipc.open_file(source).read_all()
-    return data["id"].combine_chunks(), BlockGrams(data["text"].to_pylist())
+    return data["id"].combine_chunks(), BlockGrams(data["text"].to_pylist(), with_places)
 
 
 def _names(batches: Iterator) -> Iterator[str]:
@@ -266,7 +286,7 @@ def _scores(folder: str):
         import pyarrow as pa
 
         def score(name: str, replies: list[bytes]):
-            ids, grams = _block(folder, name)
+            ids, grams = _block(folder, name, True)
             totals = np.concatenate([from_planes(r, 8) for r in replies])
             if len(totals) != len(grams.keys):
                 raise ValueError(f"{len(totals)} totals for {len(grams.keys)} n-grams of block {name}")
