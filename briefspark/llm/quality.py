@@ -1,13 +1,18 @@
 """Quality rules with DataFrame functions alone: counts from the text, then robust multivariate outliers.
 
-For each language and source the location and scatter of transformed counts are estimated by
-minimum covariance determinant: from medians and quartile ranges, repeat "take the three
-quarters of the documents that are nearest, estimate again from them". A document is rejected
-if its Mahalanobis distance to its group's last estimate is too large.
+For each language and source, each language, and all documents, location and scatter of a vector
+of transformed counts are estimated by minimum covariance determinant: of several starts (medians
+and quartile ranges; small random subsets) each is concentrated, "take the three quarters of the
+documents that are nearest, estimate again from them"; the estimate with the least determinant
+is concentrated further. A source's estimate is then drawn towards its language's and that
+towards the one of all documents, as if so many documents (WEIGHT) had been seen of those; that
+of all is drawn towards a wide prior. So a group of any size has an estimate, and small ones
+lean on what is around them. A document is rejected if its Mahalanobis distance by its group's
+estimate is too large.
 
 All steps are sums over groups: counts on a grid for quantiles, first and second moments for
 estimates. A source with a third of all documents is summed up in every task before anything is
-shuffled. Groups below ``LEAST`` documents share one estimate; below that nothing is rejected.
+shuffled.
 """
 
 from __future__ import annotations
@@ -17,25 +22,28 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from briefspark.llm.shared import materialize, salted_left_join, table
+from briefspark.llm.shared import materialize, row_of, salted_left_join, table
 
 SPACE = "\\x20\\x09-\\x0D"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Statistics of the vector, and the deviation that a group is always allowed in each.
+#: Statistics of the vector, and the deviation that a group is always allowed in each: the unit of all estimates.
 VECTOR = {"length": 0.5, "word_length": 0.06, "symbols": 0.015, "capitals": 0.03, "marks": 0.03}
+#: Deviations of the prior, in the same order, and of how many documents it and each wider group's estimate count for.
+PRIOR, WEIGHT = (3.0, 0.5, 0.2, 0.3, 0.2), 50
 D = len(VECTOR)
+UNITS = list(VECTOR.values())
 #: Shares of short texts are noisy: each text counts as if it went on for so long without capitals and marks.
 PRIOR_CHARS, PRIOR_WORDS = 100, 20
-#: Share of a group that an estimate is made from, and how often it is made again.
-SHARE, STEPS = 0.75, 3
-LEAST = 50
+#: Share of a group that an estimate is made from; starts, documents of a random one, steps of all and of the best.
+SHARE, STARTS, SUBSET, FIRST_STEPS, LAST_STEPS = 0.75, 4, 12, 2, 3
 #: Squared distance beyond which a document goes: one in ten million of a normal group.
 LIMIT = 42.0
-GRID, DISTANCE_GRID = 256, 64
-#: Groups whose estimates are sent to every task; more are joined by key.
-SENT_GROUPS = 20_000
+#: Cells of the grids: of a vector's units, and of the logarithm of a squared distance.
+GRID, DISTANCE_GRID = 32, 256
+#: Groups whose estimates are sent to every task, some 4 MB with all starts; more are joined by key.
+SENT_GROUPS = 5_000
 
 
 def _wilson_hilferty(p_normal: float, d: int) -> float:
@@ -102,19 +110,28 @@ def _part(c: str) -> Column:
 
 
 def add_vector(counted: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The transformed statistics __q_x0.. and the group's key __q_key."""
+    """The transformed statistics __q_x0.. in their units, and the keys of the document's group and language."""
     chars, words = F.col("__q_word_chars") + PRIOR_CHARS, F.col("__q_n_words") + PRIOR_WORDS
     values = [F.log1p(F.col("__q_n_words").cast("double")), F.log(chars / words), F.col("__q_n_symbols") / chars, F.col("__q_capitals") / chars, F.col("__q_marks") / chars]
-    return counted.withColumns({f"__q_x{k}": v.cast("double") for k, v in enumerate(values)} | {"__q_key": F.concat(_part(lang_col), F.lit("/"), _part(source_col))}).drop("__q_capitals", "__q_marks")
+    lang = _part(lang_col)
+    keys = {"__q_key": F.concat(lang, F.lit("/"), _part(source_col)), "__q_lang": F.concat(lang, F.lit("/"))}
+    return counted.withColumns({f"__q_x{k}": v.cast("double") / UNITS[k] for k, v in enumerate(values)} | keys).drop("__q_capitals", "__q_marks")
 
 
 # --- estimates -------------------------------------------------------------------------
 
+ALL = "*"
+XS = [f"__q_x{k}" for k in range(D)]
+MEANS = [f"__q_c{k}" for k in range(D)]
+PLACES = [(i, j) for i in range(D) for j in range(i + 1)]
+COVARIANCES = [f"__q_v{i}{j}" for i, j in PLACES]
+FACTORS = [f"__q_l{i}{j}" for i, j in PLACES]
 
-def with_estimates(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
+
+def with_estimates(rows: DataFrame, estimates: DataFrame, groups: int, on: tuple[str, ...] = ("__q_key",)) -> DataFrame:
     if groups <= SENT_GROUPS:
-        return rows.join(F.broadcast(estimates), "__q_key", "left")
-    return salted_left_join(rows, estimates, ["__q_key"], [F.col("__q_x0"), F.col("__q_x1")], 64)
+        return rows.join(F.broadcast(estimates), list(on), "left")
+    return salted_left_join(rows, estimates, list(on), [F.col("__q_x0"), F.col("__q_x1")], 64)
 
 
 def grid_quantiles(rows: DataFrame, by: list[str], cell: str, shares: dict[str, float]) -> DataFrame:
@@ -125,84 +142,103 @@ def grid_quantiles(rows: DataFrame, by: list[str], cell: str, shares: dict[str,
     return counts.groupBy(*by).agg(*(F.min(F.when(F.col("__upto") >= share * F.col("__all"), F.col(cell))).alias(name) for name, share in shares.items()))
 
 
-def _standard(k: int) -> Column:
-    return (F.col(f"__q_x{k}") - F.col(f"__q_m{k}")) / F.col(f"__q_s{k}")
+# Expressions over many columns are written as SQL: one call instead of one for every sign.
 
 
-def _squared_distance(with_covariance: bool) -> Column:
-    """From standardized values; with a covariance by forward substitution in its Cholesky factor."""
-    if not with_covariance:
-        return sum((_standard(k) * _standard(k) for k in range(D)), F.lit(0.0))
-    solved: list[Column] = []
-    for i in range(D):
-        rest = _standard(i) - F.col(f"__q_c{i}")
-        for j in range(i):
-            rest = rest - F.col(f"__q_l{i}{j}") * solved[j]
-        solved.append(rest / F.col(f"__q_l{i}{i}"))
-    return sum((v * v for v in solved), F.lit(0.0))
-
-
-def _moments(near: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of the covariance, per group; the allowed deviation is added to each variance."""
-    z = [_standard(k) for k in range(D)]
-    sums = [F.avg(z[k]).alias(f"__q_c{k}") for k in range(D)]
-    sums += [F.avg(z[i] * z[j]).alias(f"__q_p{i}{j}") for i in range(D) for j in range(i + 1)]
-    found = near.groupBy("__q_key").agg(*sums, *(F.first(f"__q_s{k}").alias(f"__q_s{k}") for k in range(D)))
+def squared_distance() -> Column:
+    """Of a row's vector from its estimate, by forward substitution in the factor."""
+    solved: list[str] = []
     for i in range(D):
-        for j in range(i + 1):
-            value = F.col(f"__q_p{i}{j}") - F.col(f"__q_c{i}") * F.col(f"__q_c{j}")
-            if i == j:
-                value = value + F.pow(F.lit(list(VECTOR.values())[i]) / F.col(f"__q_s{i}"), 2)
-            for k in range(j):
-                value = value - F.col(f"__q_l{i}{k}") * F.col(f"__q_l{j}{k}")
-            found = found.withColumn(f"__q_l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-6))) if i == j else value / F.col(f"__q_l{j}{j}"))
-    return found.select("__q_key", *(f"__q_c{k}" for k in range(D)), *(f"__q_l{i}{j}" for i in range(D) for j in range(i + 1)))
+        rest = "".join(f" - __q_l{i}{j} * {solved[j]}" for j in range(i))
+        solved.append(f"(({XS[i]} - {MEANS[i]}{rest}) / __q_l{i}{i})")
+    return F.expr(" + ".join(f"{v} * {v}" for v in solved))
+
+
+def factored(found: DataFrame) -> DataFrame:
+    """Cholesky factor of the covariance in __q_v*, and the logarithm of its determinant."""
+    less = lambda i, j: f"__q_v{i}{j}" + "".join(f" - __q_l{i}{k} * __q_l{j}{k}" for k in range(j))
+    for j in range(D):
+        found = found.selectExpr("*", f"sqrt(greatest({less(j, j)}, 1e-9D)) as __q_l{j}{j}")
+        if j < D - 1:
+            found = found.selectExpr("*", *(f"({less(i, j)}) / __q_l{j}{j} as __q_l{i}{j}" for i in range(j + 1, D)))
+    return found.selectExpr("*", " + ".join(f"2 * ln(__q_l{i}{i})" for i in range(D)) + " as __q_logdet")
+
+
+def moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Mean and covariance of each group; the allowed deviation, one unit, is added to each variance."""
+    sums = [f"avg({x}) as {c}" for x, c in zip(XS, MEANS, strict=True)] + [f"avg({XS[i]} * {XS[j]}) as __q_v{i}{j}" for i, j in PLACES]
+    found = rows.groupBy(*by).agg(*map(F.expr, sums))
+    return factored(found.selectExpr(*by, *MEANS, *(f"__q_v{i}{j} - {MEANS[i]} * {MEANS[j]} + {float(i == j)}D as __q_v{i}{j}" for i, j in PLACES)))
+
+
+def _starts(members: DataFrame, sizes: DataFrame, keys: int) -> DataFrame:
+    """(key, start, estimate): 0 from medians and quartile ranges, others from subsets drawn by hash."""
+    cells = members.select("__q_key", F.posexplode(F.array(*(F.round(F.col(x) * GRID) for x in XS))).alias("__k", "__cell"))
+    quartiles = grid_quantiles(cells, ["__q_key", "__k"], "__cell", {"a": 0.25, "m": 0.5, "b": 0.75})
+    of = lambda k, value, name: F.expr(f"max(case when __k = {k} then {value} end) as {name}")
+    spread = f"pow(greatest((b - a) / {GRID}D / 1.349D, 1D), 2)"
+    centre = quartiles.groupBy("__q_key").agg(*(of(k, f"m / {GRID}D", MEANS[k]) for k in range(D)), *(of(i, spread, f"__q_v{i}{i}") for i in range(D)))
+    centre = factored(centre.selectExpr("*", "0 as __q_start", *(f"0D as __q_v{i}{j}" for i, j in PLACES if i != j)))
+    drawn = with_estimates(members, sizes.select("__q_key", "__q_n"), keys).withColumn("__q_start", F.explode(F.sequence(F.lit(1), F.lit(STARTS - 1))))
+    chance = F.pmod(F.xxhash64(*XS, "__q_start"), F.lit(1 << 30)) / (1 << 30)
+    drawn = moments(drawn.filter(chance < SUBSET / F.col("__q_n")), ["__q_key", "__q_start"])
+    return centre.unionByName(drawn)
+
+
+def _step(members: DataFrame, current: DataFrame, keys: int) -> DataFrame:
+    """Each estimate again from the nearest SHARE of its group."""
+    by = ["__q_key", "__q_start"]
+    placed = with_estimates(members, current.select(*by, *MEANS, *FACTORS), keys)
+    placed = placed.select(*by, *XS, F.floor(F.log1p(squared_distance()) * DISTANCE_GRID).alias("__cell"))
+    cut = grid_quantiles(placed, by, "__cell", {"__q_cut": SHARE})
+    return moments(with_estimates(placed, cut, keys, tuple(by)).filter("__cell <= __q_cut"), by)
+
+
+def _blend(rows: DataFrame, wider: DataFrame) -> DataFrame:
+    """Estimates drawn towards the wider group's (columns with a trailing w), by the number of documents."""
+    both = (f"(__q_n * {c} + {WEIGHT} * {c}w) / (__q_n + {WEIGHT}) as {c}" for c in MEANS + COVARIANCES)
+    return rows.join(wider, "__q_wider").selectExpr("__q_key", "__q_n", *both)
+
+
+def _as_wider(found: DataFrame, name: str) -> DataFrame:
+    return found.selectExpr(f"__q_key as {name}", *(f"{c} as {c}w" for c in MEANS + COVARIANCES))
 
 
 def estimates(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """Per group key the centre, scales, mean, Cholesky factor and factor of consistency; and how many keys.
+    """Per group key the mean and the factor of the covariance; and how many keys.
 
-    ``vectors`` has __q_key and __q_x*, and is read many times: pass a written table. Keys of
-    small groups point to the estimate of all rows, if that has enough of them.
+    ``vectors`` has __q_key, __q_lang and __q_x*, and is read many times: pass a written table.
     """
-    sizes = materialize(vectors.groupBy("__q_key").agg(F.count("*").alias("__n")), "groups")
-    totals = sizes.agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
-    keys, total = totals[0], totals[1]
-    own = sizes.select("__q_key", F.when(F.col("__n") >= LEAST, F.col("__q_key")).when(F.lit(total >= LEAST), F.lit("*")).alias("__q_own"))
-    own = own.filter("__q_own is not null")
-    if own.filter("__q_own = '*'").isEmpty():
-        members = vectors.select("__q_key", *(f"__q_x{k}" for k in range(D)))
-    else:  # all rows also stand in the common group
-        large = own.filter("__q_own <> '*'").select("__q_key")
-        xs = [f"__q_x{k}" for k in range(D)]
-        members = with_estimates(vectors.select("__q_key", *xs), large.withColumn("__q_large", F.lit(True)), keys)
-        members = members.select(F.explode(F.when(F.col("__q_large"), F.array("__q_key", F.lit("*"))).otherwise(F.array(F.lit("*")))).alias("__q_key"), *xs)
-    cells = members.select("__q_key", F.posexplode(F.array(*(F.round(F.col(f"__q_x{k}") * GRID * (1 if k < 2 else 16)) for k in range(D)))).alias("__k", "__cell"))
-    quartiles = grid_quantiles(cells, ["__q_key", "__k"], "__cell", {"a": 0.25, "m": 0.5, "b": 0.75})
-    start = quartiles.groupBy("__q_key").agg(
-        *(F.max(F.when(F.col("__k") == k, F.col("m") / GRID / (1 if k < 2 else 16))).alias(f"__q_m{k}") for k in range(D)),
-        *(F.max(F.when(F.col("__k") == k, F.greatest((F.col("b") - F.col("a")) / GRID / (1 if k < 2 else 16) / 1.349, F.lit(least)))).alias(f"__q_s{k}") for k, least in enumerate(VECTOR.values())),
-    )
-    start = materialize(start, "estimates")
-    current = start
-    for step in range(STEPS + 1):
-        placed = with_estimates(members, current, keys).withColumn("__d", _squared_distance(step > 0))
-        cell = F.floor(F.log1p("__d") * DISTANCE_GRID)
-        if step == STEPS:
-            middle = grid_quantiles(placed.select("__q_key", cell.alias("__cell")), ["__q_key"], "__cell", {"h": 0.5})
-            middle = middle.select("__q_key", F.greatest(F.expm1((F.col("h") + 0.5) / DISTANCE_GRID) / CHI_MEDIAN, F.lit(1.0)).alias("__q_factor"))
-            current = current.join(middle, "__q_key")
-            break
-        cut = materialize(grid_quantiles(placed.select("__q_key", cell.alias("__cell")), ["__q_key"], "__cell", {"__q_cut": SHARE}), "cuts")
-        near = with_estimates(placed.withColumn("__cell", cell), cut, keys).filter("__cell <= __q_cut")
-        current = materialize(start.join(_moments(near), "__q_key"), "estimates")
-    found = own.join(current.withColumnRenamed("__q_key", "__q_own"), "__q_own").drop("__q_own")
-    return materialize(found, "estimates"), keys
+    sizes = vectors.groupBy("__q_key", "__q_lang").agg(F.count("*").alias("__q_n"))
+    levels = F.array(F.struct(F.col("__q_key").alias("k"), F.col("__q_lang").alias("w")), F.struct(F.col("__q_lang").alias("k"), F.lit(ALL).alias("w")), F.struct(F.lit(ALL).alias("k"), F.lit(None).cast("string").alias("w")))
+    sizes = sizes.select(F.explode(levels).alias("l"), "__q_n").groupBy(F.col("l.k").alias("__q_key"), F.col("l.w").alias("__q_wider")).agg(F.sum("__q_n").alias("__q_n"))
+    sizes = materialize(sizes, "groups")
+    keys = sizes.count()
+    members = vectors.select(F.explode(F.array("__q_key", "__q_lang", F.lit(ALL))).alias("__q_key"), *XS)
+    current = materialize(_starts(members, sizes, keys), "estimates")
+    for _ in range(FIRST_STEPS):
+        current = materialize(_step(members, current, keys), "estimates")
+    best = F.min_by(F.struct(*MEANS, *COVARIANCES, *FACTORS, "__q_logdet"), F.struct("__q_logdet", "__q_start")).alias("best")
+    current = current.groupBy("__q_key").agg(best).select("__q_key", F.lit(0).alias("__q_start"), "best.*")
+    for _ in range(LAST_STEPS):
+        current = materialize(_step(members, current, keys), "estimates")
+    # consistency: half of a normal group lies within the median of the chi-square distribution
+    placed = with_estimates(members, current.select("__q_key", *MEANS, *FACTORS), keys)
+    middle = grid_quantiles(placed.select("__q_key", F.floor(F.log1p(squared_distance()) * DISTANCE_GRID).alias("__cell")), ["__q_key"], "__cell", {"__h": 0.5})
+    factor = f"greatest(expm1((__h + 0.5D) / {DISTANCE_GRID}D) / {CHI_MEDIAN}D, 1D)"
+    own = current.select("__q_key", *MEANS, *COVARIANCES).join(middle, "__q_key").selectExpr("__q_key", *MEANS, *(f"{c} * {factor} as {c}" for c in COVARIANCES))
+    own = materialize(own.join(sizes, "__q_key"), "estimates")
+    prior = [f"{(PRIOR[i] / UNITS[i]) ** 2 if i == j else 0.0}D as __q_v{i}{j}w" for i, j in PLACES]
+    top = own.filter(F.col("__q_key") == ALL).withColumn("__q_wider", F.lit(ALL))
+    whole = _blend(top, top.selectExpr("__q_wider", *(f"{c} as {c}w" for c in MEANS), *prior))
+    langs = _blend(own.filter(F.col("__q_wider") == ALL), _as_wider(whole, "__q_wider"))
+    groups = _blend(own.filter(F.col("__q_wider") != ALL), _as_wider(langs, "__q_wider"))
+    return materialize(factored(groups).select("__q_key", *MEANS, *FACTORS), "estimates"), keys
 
 
 def add_verdict(rows: DataFrame, found: DataFrame, keys: int) -> DataFrame:
     """``rows`` (counts and vector) with __q_base_failed, __q_distance (null without an estimate) and __q_kept."""
-    rows = with_estimates(rows, found, keys).withColumn("__q_distance", _squared_distance(True) / F.col("__q_factor"))
+    rows = with_estimates(rows, found, keys).withColumn("__q_distance", squared_distance())
     return rows.withColumn("__q_base_failed", base_failed()).withColumn("__q_kept", ~F.col("__q_base_failed") & F.coalesce(F.col("__q_distance") <= LIMIT, F.lit(True)))
 
 
@@ -211,18 +247,20 @@ def add_verdict(rows: DataFrame, found: DataFrame, keys: int) -> DataFrame:
 
 def _vectors(rows: DataFrame) -> DataFrame:
     """What estimates are made from: rows that pass the base rules."""
-    return rows.filter(~base_failed()).select("__q_key", *(f"__q_x{k}" for k in range(D)))
+    return rows.filter(~base_failed()).select("__q_key", "__q_lang", *XS)
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns; texts don't leave their tasks.
+    """The rows of ``docs`` that are kept, with their columns, which may have any names.
 
-    A null text has no words and fails. Null languages and sources are groups of their own.
-    Repeated rows share their fate. An empty table stays empty.
+    Rows are written once with their counts, so no text is counted twice. A null text has no words
+    and fails. Null languages and sources are groups of their own. Repeated rows share their fate.
+    An empty table stays empty.
     """
-    rows = add_vector(add_counts(docs, text_col), lang_col, source_col)
+    plain = docs.select(row_of(docs), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    rows = materialize(add_vector(add_counts(plain)).drop("text", "lang", "source"), "counted")
     found, keys = estimates(materialize(_vectors(rows), "vectors"))
-    return add_verdict(rows, found, keys).filter("__q_kept").select(*docs.columns)
+    return add_verdict(rows, found, keys).filter("__q_kept").select("row.*")
 
 
 def quality_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
