@@ -7,6 +7,8 @@ entries are folded in order by one task; runs are independent of each other.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,34 +18,34 @@ LIMIT = 7
 GLANCE = "run_id string, pos int, kind string, status string, text string, links array<struct<anchor:string,phrase:string,start:int,end:int,title:string>>"
 
 
-def place_links(text: str, links, stories: dict, used: set[str]) -> list[dict]:
-    """Links whose story is known and not linked yet, at the first place of their phrase that is free."""
-    taken: list[dict] = []
-    for link in links if links is not None else []:
-        anchor, phrase = link["anchor"], (link["phrase"] or "").strip()
-        if anchor not in stories or anchor in used or not phrase:
-            continue
-        free = (m.span() for m in re.finditer(re.escape(phrase), text, re.IGNORECASE) if all(m.end() <= t["start"] or m.start() >= t["end"] for t in taken))
-        if (span := next(free, None)) is not None:
-            used.add(anchor)
-            taken.append({"anchor": anchor, "phrase": text[slice(*span)], "start": span[0], "end": span[1], "title": stories[anchor]["title"] or ""})
-    return sorted(taken, key=lambda t: t["start"])
+def candidates(text: str, links) -> list[tuple[str, int, int]]:
+    """(anchor, start, end) of every place where a link's phrase stands, by link and then by place; case doesn't count."""
+    wanted = [(link["anchor"], (link["phrase"] or "").strip()) for link in (() if links is None else links)]
+    return [(anchor, *m.span()) for anchor, phrase in wanted if phrase for m in re.finditer(re.escape(phrase), text, re.IGNORECASE)]
+
 
+def take(text: str, found: list[tuple[str, int, int]], open_to: set[str]) -> dict[str, tuple[int, int]]:
+    """One place for each anchor in ``open_to``: the first that no anchor before it covers."""
+    covered, places = bytearray(len(text)), {}
+    for anchor, start, end in found:
+        if anchor in open_to and anchor not in places and not any(covered[start:end]):
+            covered[start:end] = bytes([1]) * (end - start)
+            places[anchor] = (start, end)
+    return places
 
-def fold(entries: list[dict], stories: dict[str, dict], limit: int = LIMIT) -> list[dict]:
-    out: list[dict] = []
-    used: set[str] = set()
+
+def entries_of_run(entries: list[dict], stories: dict[str, dict]) -> Iterator[dict]:
+    """Entries in order with their links placed; each story is linked by the first entry that can."""
+    left = set(stories)
     for entry in entries:
         text = (entry["text"] or "").strip()
-        if not text or len(out) == limit:
-            continue
-        kind = entry["kind"] if entry["kind"] in ("Trend", "Update") else "Update"
-        links = place_links(text, entry["links"], stories, used)
-        if kind == "Update" and not links:
+        places = take(text, candidates(text, entry["links"]), left)
+        if not text or entry["kind"] == "Update" and not places:
             continue
-        status = stories[links[0]["anchor"]]["status"] if kind == "Update" else None
-        out.append({"pos": len(out), "kind": kind, "status": status if status in ("new", "updated") else None, "text": text, "links": links})
-    return out
+        left -= places.keys()
+        links = [{"anchor": a, "phrase": text[i:j], "start": i, "end": j, "title": stories[a]["title"] or ""} for a, (i, j) in sorted(places.items(), key=lambda p: p[1])]
+        told = stories[links[0]["anchor"]]["status"] if entry["kind"] == "Update" else None
+        yield {"kind": entry["kind"], "status": told if told in ("new", "updated") else None, "text": text, "links": links}
 
 
 def glance(entries: DataFrame, catalog: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -54,9 +56,10 @@ def glance(entries: DataFrame, catalog: DataFrame, limit: int = LIMIT) -> DataFr
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         stories = {r.anchor: {"title": r.title, "status": r.status} for r in right.itertuples()}
-        rows = fold(left.sort_values("pos").to_dict("records"), stories, limit)
-        return pd.DataFrame([{"run_id": key[0], **r} for r in rows], columns=["run_id", "pos", "kind", "status", "text", "links"])
+        rows = islice(entries_of_run(left.sort_values("pos").to_dict("records"), stories), limit)
+        return pd.DataFrame([{"run_id": key[0], "pos": k, **r} for k, r in enumerate(rows)], columns=["run_id", "pos", "kind", "status", "text", "links"])
 
+    entries = entries.withColumn("kind", F.when(F.col("kind").isin("Trend", "Update"), F.col("kind")).otherwise("Update"))
     return entries.groupBy("run_id").cogroup(catalog.groupBy("run_id")).applyInPandas(run, GLANCE)
 
 

@@ -21,7 +21,7 @@ def read(spark, folder, **contents):
     for name, content in contents.items():
         (folder / f"{name}.xml").write_text(content)
         rows.append((name.split("_")[0], name, str(folder / f"{name}.xml")))
-    return feeds.read_feeds(spark, rows)
+    return feeds.read_feeds(spark, rows, local=True)
 
 
 def test_two_runs(spark, tmp_path):

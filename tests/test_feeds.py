@@ -71,7 +71,7 @@ def test_public_url():
 def test_source(spark, tmp_path):
     for name, raw in (("good", RSS), ("bad", b"<rss>"), ("packed", gzip.compress(ATOM))):
         (tmp_path / f"{name}.xml").write_bytes(raw)
-    rows = feeds.read_feeds(spark, feeds.feed_files(str(tmp_path)))
+    rows = feeds.read_feeds(spark, feeds.feed_files(str(tmp_path)), local=True)
     got = {(r.source, r.title, r.url, r.summary) for r in feeds.feed_items(rows).collect()}
     assert ("good", "A & B", "http://x/1", "Hello you") in got
     assert ("packed", "a", "http://x/alt", "deep") in got
@@ -92,3 +92,59 @@ def test_config(spark, tmp_path):
 def test_json_lines(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"url": "a"}\n\nnot json\n{"url": "b"}\n')
     assert sorted(r.url for r in feeds.read_json_lines(spark, str(tmp_path / "x.jsonl"), "url string").collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("url", ["file:///etc/hostname", "/etc/hostname", "FILE:///etc/hostname", "etc/hostname", "ftp://x/", "gopher://x/"])
+def test_files_are_read_only_where_that_is_allowed(spark, url):
+    with pytest.raises(feeds.Rejected):
+        feeds.fetch(url, resolve=resolver("8.8.8.8"))
+    health = feeds.feed_health(feeds.read_feeds(spark, [("security", "a", url)])).first()
+    assert (health.loaded, health.failed) == (0, ["a"])
+
+
+def test_redirects_are_checked_too():
+    """A server on a public name that sends its readers to a private one."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Moved(BaseHTTPRequestHandler):
+        def do_GET(self):
+            body = b"" if self.path == "/moved" else b"here"
+            self.send_response(302 if self.path == "/moved" else 200)
+            self.send_header("Location", "http://private.test/secret")
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Moved)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        answer = lambda host, *a, **k: resolver("10.0.0.1" if host == "private.test" else "8.8.8.8")()
+        base = f"http://127.0.0.1:{server.server_port}"
+        assert feeds.fetch(f"{base}/here", resolve=answer) == b"here"
+        with pytest.raises(feeds.Rejected, match="private.test"):
+            feeds.fetch(f"{base}/moved", resolve=answer)
+    finally:
+        server.shutdown()
+
+
+def test_mapped_addresses():
+    with pytest.raises(feeds.Rejected):
+        feeds.check_url("http://x/", resolver("::ffff:127.0.0.1"))
+
+
+def test_large_feed_in_pieces():
+    raw = b"<rss><channel>" + b"".join(b"<item><title>t%d</title><link>http://x/%d</link></item>" % (k, k) for k in range(5000)) + b"</channel><channel><item><title>no</title></item></channel></rss>"
+    got = feeds.raw_items(raw)
+    assert len(got) == 5000 and got[4999] == ("t4999", "http://x/4999", "", "")
+
+
+def test_payloads_over_the_limit_are_told(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feeds, "BODY_LIMIT", 20)
+    (tmp_path / "a.json").write_text('{"a": 1}')
+    (tmp_path / "b.json").write_text('{"a": "' + "x" * 30 + '"}')
+    got = {r.path[-6:]: (r.body, r.error) for r in feeds.read_payloads(spark, str(tmp_path)).collect()}
+    assert got == {"a.json": ('{"a": 1}', None), "b.json": (None, "over 20 bytes")}
