@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefspark.functions import dates, text
-from briefspark.operators import archive, diffing, market, profile, ranking, selection, validation, weather
+from briefspark.operators import archive, diffing, glance, market, profile, ranking, selection, sports, validation, weather
 
 NOW = "timestamp_ntz'2024-01-30 00:00:00'"
 SQL_NOW = "TIMESTAMP '2024-01-30 00:00:00'"
@@ -188,7 +188,7 @@ def uncited_dropped(spark, d):
 UNCITED = f"SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM ({CITED}))"
 
 
-def digest_problems(spark, d):
+def rule_problems(spark, d):
     rules = {
         "missing text": ~validation.filled(F.col("text")),
         "missing source": ~validation.filled(F.col("source")),
@@ -198,12 +198,48 @@ def digest_problems(spark, d):
     return validation.problems(_t(spark, d, "documents"), "doc_id", rules)
 
 
-PROBLEMS = """
+RULE_PROBLEMS = """
 SELECT doc_id, 'missing text' AS problem FROM documents WHERE trim(coalesce(text, '')) = ''
 UNION ALL SELECT doc_id, 'missing source' FROM documents WHERE trim(coalesce(source, '')) = ''
 UNION ALL SELECT doc_id, 'short' FROM documents WHERE coalesce(n_chars, 0) < 100
 UNION ALL SELECT doc_id, 'unknown language' FROM documents WHERE coalesce(lang, '') NOT IN ('en', 'de')"""
 
+# Drafts: each customer's orders are the topics of a run; some lack parts, and those that five divides lack a source.
+TOPICS = """SELECT o_custkey AS run_id, o_orderkey AS pos, o_orderpriority AS section, CASE WHEN o_orderkey % 7 = 0 THEN '  ' ELSE ' ' || o_orderpriority END AS title,
+  nullif(o_orderstatus, 'P') AS latest_developments, CASE WHEN o_totalprice < 50000 THEN '' ELSE o_orderstatus END AS summary FROM orders"""
+
+
+def _drafts(spark, d):
+    topics = spark.sql(TOPICS.replace("FROM orders", "FROM {orders}"), orders=_t(spark, d, "orders"))
+    return topics, topics.filter("pos % 5 <> 0")
+
+
+def digest_problems(spark, d):
+    topics, citations = _drafts(spark, d)
+    heads = _t(spark, d, "customer").select(F.col("c_custkey").alias("run_id"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("headline"))
+    trends = topics.select("run_id", F.nullif("latest_developments", F.lit("F")).alias("text"))
+    return validation.digest_problems(topics, trends, F.col("headline"), heads, citations)
+
+
+PROBLEMS = f"""
+WITH t AS ({TOPICS}),
+p AS (SELECT run_id, pos, unnest(['title', 'latest_developments', 'summary']) AS part, unnest([title, latest_developments, summary]) AS value FROM t),
+c AS (SELECT c_custkey AS run_id, nullif(c_mktsegment, 'BUILDING') AS headline FROM customer)
+SELECT run_id, 'topic ' || pos::VARCHAR || ': missing ' || part AS problem FROM p WHERE trim(coalesce(value, '')) = ''
+UNION ALL SELECT run_id, 'topic ' || pos::VARCHAR || ': no valid sources' FROM t WHERE pos % 5 = 0
+UNION ALL SELECT run_id, 'missing headline' FROM c WHERE headline IS NULL
+UNION ALL SELECT run_id, 'missing topics' FROM c WHERE run_id NOT IN (SELECT run_id FROM t)
+UNION ALL SELECT run_id, 'trends need text' FROM c WHERE run_id NOT IN (SELECT run_id FROM t GROUP BY run_id HAVING bool_and(coalesce(latest_developments, 'F') <> 'F'))"""
+
+
+def local_items(spark, d):
+    topics, citations = _drafts(spark, d)
+    return validation.local_items(topics, citations).select("section", "pos", "title", "latest_developments", "summary")
+
+
+LOCAL = f"""
+SELECT section, pos, trim(title) AS title, latest_developments, summary FROM ({TOPICS}) WHERE pos % 5 <> 0 AND trim(title) <> '' AND latest_developments IS NOT NULL"""
+
 
 def _last_event(spark, d, day):
     found = _t(spark, d, "events").filter(F.to_date("ts") == F.lit(day).cast("date"))
@@ -211,7 +247,8 @@ def _last_event(spark, d, day):
 
 
 def run_diff(spark, d):
-    prior = diffing.last_text(_last_event(spark, d, "2024-01-29").withColumn("seq", F.lit(0)), "key", F.col("text"), "seq")
+    before = _t(spark, d, "events").filter(F.to_date("ts") == F.lit("2024-01-29").cast("date")).select(F.col("user_id").cast("string").alias("key"), "event_type", "ts")
+    prior = diffing.last_text(before, "key", F.col("event_type"), "ts")
     return diffing.changes(_last_event(spark, d, "2024-01-30"), prior, "key", "text").select("key", "status", "new_text", "old_text")
 
 
@@ -332,14 +369,112 @@ x AS (SELECT *, (c - p) / p * 100 AS pct FROM m)
 SELECT event_type, round(c, 6) AS current, round(p, 6) AS previous, round(pct, 6) AS pct, format('{:,.2f}', c) AS value, CASE WHEN abs(pct) < 0.05 THEN '=' WHEN pct > 0 THEN '▲' ELSE '▼' END AS arrow FROM x"""
 
 
+def _boards(spark, d):
+    """Scoreboards of one event each, from orders: the clerk's state is the game's, customers are the home sides."""
+    o = _t(spark, d, "orders")
+    state = F.when(F.col("o_orderstatus") == "O", "pre").when(F.col("o_orderstatus") == "F", "post").otherwise("in")
+    detail = F.when(state == "in", "Top 3").when(F.col("o_orderkey") % 3 == 0, "Final/10").otherwise("Final")
+    status = F.struct(F.struct(state.alias("state"), (F.col("o_totalprice") > 30000).alias("completed"), detail.alias("shortDetail")).alias("type"))
+    side = lambda which, letter, key: F.struct(F.lit(which).alias("homeAway"), (key % 9).cast("string").alias("score"), F.struct(F.concat(F.lit(letter), (key % 10).cast("string")).alias("abbreviation"), F.concat(F.lit(f"{letter}-"), key.cast("string")).alias("shortDisplayName")).alias("team"))
+    game = F.struct(F.array(side("home", "H", F.col("o_custkey")), side("away", "A", F.col("o_orderkey"))).alias("competitors"), F.array(F.struct(F.lit("recap").alias("shortLinkText"))).alias("headlines"), status.alias("status"))
+    event = F.struct(
+        F.col("o_orderkey").cast("string").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm'Z'").alias("date"), status.alias("status"), F.array(game).alias("competitions"),
+        F.struct(F.year("o_orderdate").alias("year"), F.lit(2).alias("type")).alias("season"), F.struct(F.month("o_orderdate").alias("number")).alias("week"),
+    )
+    league = F.when(F.col("o_custkey") % 4 == 0, "nfl").otherwise(F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
+    return sports.events(o.select(league.alias("league"), F.col("o_orderkey").alias("board"), F.to_json(F.struct(F.array(event).alias("events"))).alias("body")))
+
+
+_GAMES = """
+WITH g AS (SELECT *, CASE WHEN o_custkey % 4 = 0 THEN 'nfl' ELSE 'c' || o_custkey::VARCHAR END AS league, (o_orderdate AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS et,
+    'A-' || o_orderkey::VARCHAR AS away, 'H-' || o_custkey::VARCHAR AS home, 'a' || (o_orderkey % 10)::VARCHAR || '-h' || (o_custkey % 10)::VARCHAR AS pair FROM orders),
+u AS (SELECT *, 'https://plaintextsports.com/' || league || '/' || CASE WHEN league = 'nfl' THEN year(o_orderdate)::VARCHAR || '/week' || month(o_orderdate)::VARCHAR ELSE strftime(et, '%Y-%m-%d') END || '/' || pair AS url FROM g)"""
+
+
+def team_games(spark, d):
+    return sports.games(_boards(spark, d), "H3").select("league", "board", "date", "result", "url", "recap")
+
+
+GAMES = f"""{_GAMES},
+s AS (SELECT *, away || ' ' || (o_orderkey % 9)::VARCHAR || ' · ' || home || ' ' || (o_custkey % 9)::VARCHAR || ' · ' AS score, CASE WHEN o_orderkey % 3 = 0 THEN 'Final/10' ELSE 'Final' END AS detail FROM u)
+SELECT league, o_orderkey AS board, strftime(et, '%a %b %-d') AS date, CASE WHEN o_orderstatus = 'P' THEN score || 'Top 3 (in progress at last update)'
+    WHEN o_totalprice <= 30000 THEN away || ' @ ' || home || ' · ' || detail ELSE score || CASE WHEN o_orderkey % 3 = 0 THEN 'Final (10)' ELSE 'Final' END END AS result,
+  url, CASE WHEN o_orderstatus = 'F' AND o_totalprice <= 30000 THEN '' ELSE 'recap' END AS recap
+FROM s WHERE o_orderstatus <> 'O' AND o_custkey % 10 = 3"""
+
+
 def next_game(spark, d):
-    ahead = _t(spark, d, "orders").filter((F.col("o_orderdate") > F.expr(DAY)) & (F.col("o_orderdate") <= F.expr(f"{DAY} + interval 15 days")))
-    return ahead.groupBy("o_custkey").agg(F.min_by(F.struct("o_orderkey", "o_orderdate"), F.struct("o_orderdate", "o_orderkey")).alias("g")).select("o_custkey", "g.*")
+    return sports.next_game(_boards(spark, d), F.expr(DAY).cast("timestamp"))
+
+
+NEXT = f"""{_GAMES},
+k AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY o_orderdate, o_orderkey) AS k FROM u
+  WHERE o_orderstatus = 'O' AND o_orderdate > DATE '1998-01-01' AND o_orderdate <= DATE '1998-01-16')
+SELECT league, away || ' @ ' || home AS matchup, strftime(et, '%a %b %-d, %-I:%M %p') AS "when", url FROM k WHERE k = 1"""
+
+
+def market_table(spark, d):
+    """Charts of each event type's last value a day, the running day's bar left out, as aligned lines."""
+    daily = _t(spark, d, "events").groupBy(F.col("event_type").alias("symbol"), F.to_date("ts").alias("day")).agg(F.max_by("value", "ts").alias("close"))
+    bars = F.sort_array(F.collect_list(F.struct(F.unix_timestamp(F.col("day").cast("timestamp")).alias("ts"), "close")))  # a bar a day
+    charts = daily.groupBy("symbol").agg(bars.alias("b"))
+    quote = F.struct(F.array(F.struct(F.transform("b", lambda x: x["close"]).alias("close"))).alias("quote"))
+    result = F.struct(F.transform("b", lambda x: x["ts"]).alias("timestamp"), quote.alias("indicators"))
+    payloads = charts.select("symbol", F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart"))).alias("body"))
+    changes = market.weekly_change(market.closes(payloads, F.to_date(_now())), "symbol", "ts", "close")
+    symbols = charts.select(F.length("symbol").cast("long").alias("pos"), F.upper("symbol").alias("label"), "symbol", F.when(F.col("symbol") < "m", 4).otherwise(2).alias("digits"))
+    return market.market_lines(market.market_rows(changes, symbols))
+
+
+MARKET = f"""
+WITH d AS (SELECT event_type, ts::DATE AS day, arg_max(value, ts) AS v FROM events GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS k FROM d WHERE day < {SQL_NOW}::DATE),
+m AS (SELECT event_type, avg(v) FILTER (k <= 5) AS c, avg(v) FILTER (k BETWEEN 6 AND 10) AS p FROM k GROUP BY 1 HAVING count(*) >= 10),
+x AS (SELECT *, (c - p) / p * 100 AS pct, CASE WHEN event_type < 'm' THEN format('{{:,.4f}}', c) ELSE format('{{:,.2f}}', c) END AS shown FROM m)
+SELECT length(event_type) AS pos, rpad(upper(event_type), (SELECT max(length(event_type)) FROM x)::INTEGER, ' ') || '  ' || lpad(shown, (SELECT max(length(shown)) FROM x)::INTEGER, ' ') || '  ' ||
+  CASE WHEN abs(pct) < 0.05 THEN '=' WHEN pct > 0 THEN '▲' ELSE '▼' END || ' ' || CASE WHEN pct < 0 THEN '-' ELSE '+' END || format('{{:,.1f}}', abs(pct)) || '%' AS line FROM x"""
+
+
+def feed_dates(spark, d):
+    """Dates in five forms, read back."""
+    ts, k = F.col("ts"), F.col("event_id") % 5
+    mail = lambda t, zone: F.concat(F.date_format(t, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(f" {zone}"))
+    shown = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, mail(ts, "GMT")).when(k == 2, mail(ts - F.expr("interval 5 hours"), "-0500")).when(k == 3, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).otherwise("soon")
+    return _t(spark, d, "events").select("event_id", F.date_format(dates.parse_date(shown), "yyyy-MM-dd HH:mm:ss").alias("published"))
+
+
+FEED_DATES = "SELECT event_id, CASE WHEN event_id % 5 < 4 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS published FROM events"
+
+
+def plain_glance(spark, d):
+    part = _t(spark, d, "part")
+    linked = F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("i-"), F.col("p_partkey").cast("string")))
+    trends = part.filter("p_size <= 25").select(F.col("p_brand").alias("run_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("text"), linked.alias("linked"), F.col("p_type").alias("link_phrase"))
+    changed = part.filter("p_size > 25").select(F.col("p_brand").alias("run_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("title"), F.concat(F.lit("i-"), F.col("p_partkey").cast("string")).alias("anchor"))
+    link = F.get("links", 0)
+    return glance.plain_entries(trends, changed).select("run_id", "pos", "kind", "text", link["anchor"].alias("anchor"), link["phrase"].alias("phrase"))
+
+
+PLAIN = """
+SELECT p_brand AS run_id, p_partkey AS pos, 'Trend' AS kind, p_name AS text, CASE WHEN p_partkey % 3 <> 0 THEN 'i-' || p_partkey::VARCHAR END AS anchor, CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS phrase FROM part WHERE p_size <= 25
+UNION ALL SELECT p_brand, p_partkey + (1::BIGINT << 40), 'Update', p_name, 'i-' || p_partkey::VARCHAR, p_name FROM part WHERE p_size > 25"""
+
+
+def last_runs(spark, d):
+    runs = _t(spark, d, "events").select(F.to_date("ts").alias("run_date"), F.col("ts").alias("run_ts"), "event_id", "event_type")
+    return archive.last_of_day(runs).withColumn("latest", F.col("event_id") == F.lit(archive.latest_run(runs).first()["event_id"]))
+
+
+LAST_RUNS = """
+SELECT ts::DATE AS run_date, max(ts) AS run_ts, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS event_type, max(ts) = (SELECT max(ts) FROM events) AS latest FROM events GROUP BY 1"""
+
+
+def prior_total(spark, d):
+    rows = _t(spark, d, "events").select(F.to_date("ts").alias("date"), F.col("event_id").alias("pos"), F.col("event_type").alias("title"), *(F.lit("").alias(c) for c in ("area", "latest_developments", "last_24h")), F.col("props").alias("summary"))
+    return archive.prior_count(diffing.prior_topics(rows, F.to_date(_now()), 7))
 
 
-NEXT = """
-SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders
-  WHERE o_orderdate > DATE '1998-01-01' AND o_orderdate <= DATE '1998-01-16') WHERE k = 1"""
+PRIOR_TOTAL = f"SELECT count(DISTINCT ts::DATE) AS runs, count(*) AS topics FROM events WHERE ts::DATE >= {SQL_NOW}::DATE - 7"
 
 
 def first_periods(spark, d):
@@ -441,7 +576,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "citation_allowlist": (citation_allowlist, CITED),
     "section_allowlist": (section_allowlist, SECTION),
     "uncited_dropped": (uncited_dropped, UNCITED),
+    "rule_problems": (rule_problems, RULE_PROBLEMS),
     "digest_problems": (digest_problems, PROBLEMS),
+    "local_items": (local_items, LOCAL),
     "run_diff": (run_diff, DIFF),
     "catalog_status": (catalog_status, CATALOG),
     "trend_to_topic": (trend_to_topic, TREND),
@@ -452,7 +589,13 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "freshness_lag": (freshness_lag, LAG),
     "date_span": (date_span, SPAN),
     "weekly_average": (weekly_average, WEEKLY),
+    "market_table": (market_table, MARKET),
+    "team_games": (team_games, GAMES),
     "next_game": (next_game, NEXT),
+    "feed_dates": (feed_dates, FEED_DATES),
+    "plain_glance": (plain_glance, PLAIN),
+    "last_runs": (last_runs, LAST_RUNS),
+    "prior_total": (prior_total, PRIOR_TOTAL),
     "first_periods": (first_periods, PERIODS),
     "prior_coverage": (prior_coverage, COVERAGE),
     "history_lines": (history_lines, HISTORY),
