@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefspark.llm.shared import table
+from briefspark.llm.shared import new_folder, table
 
 # Element ids of the Matroska format.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -290,16 +290,32 @@ def feature(media: Media, payload: bytes) -> str:
     )
 
 
+STORED = "doc_id bigint, n_bytes bigint, media binary"
 MEDIA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
-def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
-    """Each text as a Matroska file, and what parsing that file gives back.
+def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text as a Matroska file: doc_id, n_bytes (of the text) and media.
 
-    A null text is empty, and stored as 64 zero bytes. Equal texts give equal values in all
-    columns but the id. With ``keep_media`` the files are in a column ``media``.
+    A null text is empty, and stored as 64 zero bytes. Equal texts give equal files. Other columns
+    of ``docs`` don't matter.
     """
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sizes, payloads = zip(*map(padded, part.column(1).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(map(mux, payloads), pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, STORED)
+
+
+def media_features(stored: DataFrame) -> DataFrame:
+    """What parsing the files of ``stored`` (STORED) gives: payload put together from the packets' byte ranges, digests and a feature."""
+
     def run(batches: Iterator) -> Iterator:
         import hashlib
         import zlib
@@ -307,22 +323,23 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                cols: list[list] = [[] for _ in range(8)]
-                for text in part.column(1).to_pylist():
-                    n, payload = padded(text)
-                    data = mux(payload)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                rows = []
+                for data in part.column(2).to_pylist():
                     media = parse(data)
                     back = b"".join(data[p.start : p.start + p.size] for p in media.packets)
-                    for col, value in zip(cols, (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(media, back), data if keep_media else None), strict=True):
-                        col.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays][: 8 + keep_media], names=[x.split()[0] for x in MEDIA.split(", ")] + ["media"] * keep_media)
+                    rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(media, back)))
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=[x.split()[0] for x in MEDIA.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, MEDIA + ", media binary" * keep_media)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, MEDIA)
 
 
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store_texts(table(spark, sf_dir, "documents"))
+    """Write every text's file to a table in the shared folder, and describe what is read back from there."""
+    path = new_folder(spark, "media")
+    stored = store_texts(table(spark, sf_dir, "documents"))
+    stored.write.option("compression", "zstd").parquet(path)
+    return media_features(spark.read.schema(stored.schema).parquet(path))

@@ -149,17 +149,40 @@ def test_broken_media():
 
 
 def test_media_columns(spark):
-    docs = spark.createDataFrame([(1, "é" * 40, "clash"), (2, None, ""), (3, "é" * 40, ""), (None, "", "")], "doc_id bigint, text string, feature string")
-    got = {r.doc_id: r for r in matroska.store_texts(docs, keep_media=True).collect()}
-    assert len(got) == 4
+    docs = spark.createDataFrame([(1, "é" * 40, "clash"), (2, None, ""), (3, "é" * 40, ""), (None, "", ""), (5, "x" * 3_000_000, ""), (5, "x" * 3_000_000, "")], "doc_id bigint, text string, media string")
+    stored = matroska.store_texts(docs)
+    got = {r.doc_id: r for r in matroska.media_features(stored).collect()}
+    files = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    assert len(got) == 5
     assert got[1][1:] == got[3][1:] and got[2][1:] == got[None][1:]
     assert (got[1].n_bytes, got[1].payload_bytes, got[2].payload_bytes) == (80, 128, 64)
     assert got[1].payload_sha256 == hashlib.sha256("é".encode() * 40 + bytes(48)).hexdigest()
     assert got[1].tail_crc32 == zlib.crc32(("é".encode() * 40 + bytes(48))[-64:])
-    assert got[1].media_sha256 == hashlib.sha256(got[1].media).hexdigest()
-    packets = matroska.packet_table(matroska.store_texts(docs, keep_media=True), "doc_id", "media")
-    assert packets.filter("doc_id is null").count() == 0 if "doc_id" in packets.columns else packets.groupBy("id").count().count() == 4
-    assert matroska.store_texts(docs.limit(0)).count() == 0
+    assert all(got[i].media_sha256 == hashlib.sha256(data).hexdigest() for i, data in files.items())
+    packets = matroska.packet_table(stored, "doc_id", "media")
+    ranges = packets.filter("id = 1").orderBy("packet").collect()
+    assert b"".join(files[1][p.byte_start : p.byte_start + p.byte_length] for p in ranges) == "é".encode() * 40 + bytes(48)
+    assert packets.filter("id = 5").count() == 2 * -(-3_000_000 // matroska.FRAME)
+    assert matroska.media_features(matroska.store_texts(docs.limit(0))).count() == 0
+
+
+def test_matroska_query(spark, sf_dir):
+    """All columns that can be told from a text alone, and the file by parsing it with the feature's counts."""
+    import pyarrow.parquet as pq
+
+    got = {r.doc_id: r for r in matroska.op6_matroska(spark, sf_dir).collect()}
+    rows = pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    assert len(got) == len(rows)
+    for d in rows:
+        data = (d["text"] or "").encode()
+        whole = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        file, r = matroska.mux(whole), got[d["doc_id"]]
+        assert tuple(r)[1:7] == (len(data), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]), len(file), hashlib.sha256(file).hexdigest())
+        samples = [b - 128 for b in whole]
+        told = dict(x.split("=") for x in r.feature.split(";"))
+        assert int(told["packets"]) == -(-len(whole) // matroska.FRAME)
+        assert float(told["mean"]) == pytest.approx(sum(samples) / len(samples), abs=1e-4)
+        assert int(told["turns"]) == sum((a >= 0) != (b >= 0) for a, b in zip(samples, samples[1:], strict=False))
 
 
 # --- URL filters -----------------------------------------------------------------------
