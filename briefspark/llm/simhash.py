@@ -458,8 +458,11 @@ def band_links(distinct: DataFrame, similarity: float) -> DataFrame:
     return _by_shard(run, dealt, FOUND, CUT)
 
 
-def exact_links(doubtful: DataFrame, similarity: float) -> DataFrame:
-    """Links between members (shard, node, root, sig, shingles) of a shard whose roots differ, judged by their sets of shingles."""
+def exact_links(doubtful: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between members (shard, node, root) of a shard whose roots differ, judged by their sets of shingles.
+
+    ``texts`` has node, sig, shingles and bytes (of shingles). Crowds are cut before sets are shuffled.
+    """
     sure, maybe = unequal_limits(similarity)
 
     def judge(nodes: list[bytes], roots: list[bytes], sigs: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -499,8 +502,8 @@ def exact_links(doubtful: DataFrame, similarity: float) -> DataFrame:
         for k in range(0, len(found), 10_000):
             yield _found_rows(found[k : k + 10_000])
 
-    weights = materialize(doubtful.groupBy("shard").agg(F.sum(F.octet_length("shingles").cast("long")).alias("weight")), "weights")
-    dealt = _cut_crowds(doubtful, weights, CUT_BYTES).select("shard", "node", "root", "sig", "shingles")
+    weights = doubtful.select("shard", "node").join(texts.select("node", "bytes"), "node").groupBy("shard").agg(F.sum("bytes").alias("weight"))
+    dealt = _cut_crowds(doubtful, materialize(weights, "weights"), CUT_BYTES).join(texts.drop("bytes"), "node").select("shard", "node", "root", "sig", "shingles")
     return _by_shard(run, dealt, FOUND, CUT_BYTES).select("u", "v")
 
 
@@ -540,9 +543,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     doubt = found.filter("shard is not null").select("shard", F.col("u").alias("node"), F.col("v").alias("root"))
     if not doubt.isEmpty():
         nodes = materialize(doubt.select("node").distinct().join(distinct.select("node", F.col("first.doc_id").alias("doc_id"), "sig"), "node"), "doubtful")
-        sets = materialize(shingle_sets(docs, nodes.select("node", "doc_id"), words, id_col, text_col), "sets")
-        whole = nodes.select("node", "sig").join(sets, "node")
-        links = links.union(exact_links(materialize(doubt.join(whole, "node"), "doubtful"), similarity))
+        sets = shingle_sets(docs, nodes.select("node", "doc_id"), words, id_col, text_col)
+        texts = materialize(nodes.select("node", "sig").join(sets, "node").withColumn("bytes", F.octet_length("shingles").cast("long")), "texts")
+        links = links.union(exact_links(doubt, texts, similarity))
     stars = components(links)
     named = distinct.select("node", "first").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     best = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first", "node")).alias("best"))
