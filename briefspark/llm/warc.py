@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 
@@ -363,18 +363,17 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all of ``pages``, read the archives back; what a response holds is digested again from its bytes."""
+    """Write all of ``pages`` and read the archives back: responses with their payloads, digested again, and revisits from their headers alone."""
     path = new_folder(spark, "warc")
     write_archives(archive_records(table(spark, sf_dir, "pages")), path)
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]+)>', 1) as bigint)")
-    kept = F.col("record_type") == "response"
-    return read_archives(spark, path).select(
-        page("record_id").alias("page_id"),
-        F.when(kept, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(kept, F.sha2("payload", 256)).otherwise(F.regexp_replace("payload_digest", "^sha256:", "")).alias("payload_digest"),
-        "record_type",
-        page("refers_to").alias("refers_to"),
-    )
+
+    def described(kind: str, size: Column, digest: Column) -> DataFrame:
+        found = read_archives(spark, path, payload=kind == "response").filter(F.col("record_type") == kind)
+        return found.select(page("record_id").alias("page_id"), size.cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+
+    responses = described("response", F.octet_length("payload"), F.sha2("payload", 256))
+    return responses.unionByName(described("revisit", F.col("payload_length"), F.regexp_replace("payload_digest", "^sha256:", "")))
 
 
 OP3_SQL = """
