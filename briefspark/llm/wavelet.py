@@ -42,6 +42,13 @@ def ones_before(plane: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)]).astype("<i8")
 
 
+def id_bits(path: str, end_id: int) -> int:
+    """Bits that hold every id of a vocabulary file and the end id."""
+    from tokenizers import Tokenizer
+
+    return max(1, max(end_id, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()).bit_length())
+
+
 def write_file(out, doc_ids: list[int | None], lengths: list[int], symbols: np.ndarray, bits: int) -> None:
     sections = [np.array([0 if i is None else i for i in doc_ids], "<i8"), np.cumsum(np.array(lengths, "<i8"), dtype="<i8")]
     zeros = []
@@ -155,7 +162,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1, id_co
 
     Null ids go first; rows that share an id stand together, ordered by their tokens. A null text
     is empty: its end id alone. Ranges come from approximate quantiles over all ids, so a shard
-    holds about ``shard_bytes`` of text. Each attempt writes under a name of its own and then
+    holds about ``shard_bytes`` of text. Planes are as many as the vocabulary's ids need bits, and
+    ids of over 16 bits travel as 32. Each attempt writes under a name of its own and then
     renames, so a repeated task leaves the same file.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -165,16 +173,19 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1, id_co
     if shards > 1:
         bounds = rows.agg(F.percentile_approx("id", [k / shards for k in range(1, shards)], max(10_000, 20 * shards))).first()[0] or []
 
+    bits = id_bits(path, end_id)
+    kind = np.dtype("<u2" if bits <= 16 else "<u4")
+
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         encoder, ends = word_encoder(path), np.array(bounds, np.int64)
-        last = np.array([end_id], "<u2").tobytes()
+        last = np.array([end_id], kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = part.column(0).to_pylist()
-                data = [np.frombuffer(encoder.encode(t or ""), "<u4").astype("<u2").tobytes() + last for t in part.column(1).to_pylist()]
+                data = [np.frombuffer(encoder.encode(t or ""), "<u4").astype(kind).tobytes() + last for t in part.column(1).to_pylist()]
                 places = [0 if i is None else int(np.searchsorted(ends, i, "left")) for i in ids]
                 yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), part.column(0), pa.array(data, pa.binary())], names=["shard", "id", "tokens"])
 
@@ -188,14 +199,14 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1, id_co
             ids += batch.column(1).to_pylist()
             blobs += batch.column(2).to_pylist()
         shard = TaskContext.get().partitionId()
-        lengths = [len(b) // 2 for b in blobs]
-        symbols = np.frombuffer(b"".join(blobs), "<u2")
+        lengths = [len(b) // kind.itemsize for b in blobs]
+        symbols = np.frombuffer(b"".join(blobs), kind)
         blobs.clear()
         system, place = file_system(folder)
         system.create_dir(place, recursive=True)
         attempt = f"{place}/_{uuid.uuid4().hex}"
         with system.open_output_stream(attempt) as out:
-            write_file(out, ids, lengths, symbols, 16)
+            write_file(out, ids, lengths, symbols, bits)
         system.move(attempt, f"{place}/shard-{shard:06d}.bsw")
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "tokens": pa.array([sum(lengths)], pa.int64())})
 

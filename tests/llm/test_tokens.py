@@ -210,6 +210,14 @@ def test_wavelet_shards(spark, tmp_path, shard_bytes):
     assert next(r for r in got if r[0] == 2)[2:] == (1, zlib.crc32(np.array([1], "<u4").tobytes()))
 
 
+def test_wavelet_ids_beyond_16_bits(spark, tmp_path):
+    folder = f"file://{tmp_path}/w"
+    n = wavelet.write_shards(documents(spark, [(1, "one two"), (2, None)]), folder, WORDS, end_id=70_000)
+    got = sorted(tuple(r) for r in wavelet.read_shards(spark, folder, n).collect())
+    ids = [library(WORDS).encode("one two", add_special_tokens=False).ids + [70_000], [70_000]]
+    assert got == [(1, 0, len(ids[0]), zlib.crc32(np.array(ids[0], "<u4").tobytes())), (2, len(ids[0]), 1, zlib.crc32(np.array(ids[1], "<u4").tobytes()))]
+
+
 def test_wavelet_empty(spark, tmp_path):
     folder = f"file://{tmp_path}/w"
     assert wavelet.read_shards(spark, folder, wavelet.write_shards(documents(spark, []), folder, WORDS)).count() == 0
