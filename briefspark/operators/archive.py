@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date as Date
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +52,20 @@ def retained(rows: DataFrame, date: Column, today: Column, days: int) -> DataFra
     return rows.filter(~F.coalesce(date < F.date_sub(today, days), F.lit(False)) if days > 0 else F.lit(True))
 
 
+def prune(spark: SparkSession, path: str, today: Date, days: int) -> list[str]:
+    """Delete the store's days before the retention, and nothing else; gives what was deleted. None goes if ``days`` isn't positive."""
+    if days <= 0:
+        return []
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return []
+    first = (today - timedelta(days=days)).isoformat()
+    found = {m[1]: status.getPath() for status in system.listStatus(root) if (m := re.fullmatch(r"run_date=(\d{4}-\d{2}-\d{2})", status.getPath().getName()))}
+    gone = sorted(day for day in found if day < first)
+    return [day for day in gone if system.delete(found[day], True)]
+
+
 def stem_index(stems: DataFrame, stem: str = "stem") -> DataFrame:
     """Per day, newest first, the runs (stem, label), newest first; names that aren't of a run are left out."""
     s = F.col(stem)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from briefspark.functions.text import first_nonempty, norm_url, title_key
 from briefspark.functions.text import anchor as anchor_of
-from briefspark.operators import archive, diffing, glance, ranking, selection, validation
+from briefspark.functions.dates import eastern
+from briefspark.operators import archive, diffing, glance, market, ranking, selection, sports, validation, weather
 from briefspark.plans import render
 from briefspark.sources.feeds import feed_health, feed_items
 
@@ -43,6 +44,21 @@ Summarizer = Callable[[DataFrame], DataFrame]
 STORY = ["section", "section_ord", "pos", "title", "area", "tags", "latest_developments", "summary", "sources"]
 
 
+#: Sections of a page in their order; those of stories have the names in SECTIONS.
+PAGE = ["Emerging Trends and Key Updates", "Security", "Business and Politics", "Weather", "Around Town", "Events", "Sports", "Around the Teams", "Team USA", "Reading", "Markets (weekly average, change vs prior week)"]
+
+
+@dataclass(frozen=True)
+class Extras:
+    """API payloads that a page shows beside its stories; what is None isn't shown."""
+
+    markets: DataFrame | None = None  # symbol, body
+    forecast: DataFrame | None = None  # body
+    boards: DataFrame | None = None  # league, board, body
+    teams: DataFrame | None = None  # pos, league, team, record
+    team: str = "PIT"
+
+
 class Unfit(ValueError):
     """Feeds or drafts that no briefing can be made of."""
 
@@ -144,13 +160,30 @@ def make_glance(stories: DataFrame, changed: DataFrame, listed: DataFrame, trend
     return glance.glance(glance.plain_entries(linked, updates), listed.select(F.lit("run").alias("run_id"), "anchor", "title", "status"))
 
 
-def text_lines(stories: DataFrame, entries: DataFrame) -> DataFrame:
-    """The briefing as ordered lines; sections without stories aren't there."""
+def extra_lines(extras: Extras, now: datetime) -> list[DataFrame]:
+    """Lines of the payloads that there are."""
+    at, run_id, out = lambda title: F.lit(PAGE.index(title)), F.lit("run").alias("run_id"), []
+    if extras.forecast is not None:
+        out.append(render.plain_lines(weather.weather_lines(extras.forecast).select(run_id, "pos", "line"), at("Weather"), "  ", "    "))
+    if extras.boards is not None and extras.teams is not None:
+        events = sports.events(extras.boards)
+        blocks = sports.team_blocks(sports.games(events, extras.team), sports.next_game(events, F.lit(now)), extras.teams)
+        out.append(render.team_lines(blocks.withColumn("run_id", run_id), at("Sports")))
+    if extras.markets is not None:
+        symbols = extras.markets.sparkSession.createDataFrame([(k, *s) for k, s in enumerate(market.SYMBOLS)], "pos int, label string, symbol string, digits int")
+        bars = market.closes(extras.markets, F.to_date(eastern(F.lit(now))))
+        rows = market.market_rows(market.weekly_change(bars, "symbol", "ts", "close"), symbols)
+        out.append(market.market_lines(rows).select(run_id, "pos", F.struct(F.col("pos").cast("long").alias("at"), F.lit(0).alias("n")).alias("ord"), "line").select("run_id", at(PAGE[-1]).alias("section"), "ord", "line"))
+    return out
+
+
+def text_lines(stories: DataFrame, entries: DataFrame, *others: DataFrame) -> DataFrame:
+    """The briefing as ordered lines; sections without lines aren't there."""
     rows = stories.withColumn("run_id", F.lit("run"))
-    topics = render.topic_lines(rows.filter("section_ord = 0").withColumn("rank", F.col("pos")), F.lit(1))
-    local = render.story_lines(rows.filter("section_ord > 0"), F.col("section_ord") + 1)
-    titles = ["Emerging Trends and Key Updates", *(name for name, _ in SECTIONS)]
-    return render.briefing(titles, render.glance_lines(entries, F.lit(0)), topics, local).orderBy("section", "ord")
+    place = F.try_element_at(F.create_map(*(F.lit(x) for name, _ in SECTIONS for x in (name, PAGE.index(name)))), F.col("section"))
+    topics = render.topic_lines(rows.filter("section_ord = 0").withColumn("rank", F.col("pos")), F.lit(PAGE.index("Security")))
+    local = render.story_lines(rows.filter("section_ord > 0"), place)
+    return render.briefing(PAGE, render.glance_lines(entries, F.lit(0)), topics, local, *others).orderBy("section", "ord")
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -158,11 +191,12 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def run(spark: SparkSession, feed_rows: DataFrame, store: str, now: datetime, summarize: Summarizer = cluster, attempts: int = 2) -> DataFrame:
+def run(spark: SparkSession, feed_rows: DataFrame, store: str, now: datetime, summarize: Summarizer = cluster, attempts: int = 2, extras: Extras = Extras(), retention: int = RETENTION_DAYS) -> DataFrame:
     """Make a briefing from feed rows, add it to the store and return its lines.
 
-    A summarizer whose draft is unfit is asked again, ``attempts`` times in all. Days beyond the
-    retention are what ``archive.expired`` gives; deleting them is left to the store's owner.
+    A summarizer whose draft is unfit is asked again, ``attempts`` times in all. The store keeps
+    stories by day, and the page of each run below ``_pages``; days of stories before the
+    retention are deleted (0 keeps all).
     """
     work = f"{store.rstrip('/')}/_work/{now:%Y%m%d%H%M%S}"  # Spark doesn't read names that begin so
     rows = _written(feed_rows, f"{work}/rows")
@@ -182,7 +216,9 @@ def run(spark: SparkSession, feed_rows: DataFrame, store: str, now: datetime, su
     changed, listed = compare(stories, prior)
     entries = _written(make_glance(stories, changed, listed), f"{work}/glance")
     stories.write.partitionBy("run_date").mode("append").parquet(store)
-    return text_lines(stories, entries)
+    archive.prune(spark, store, now.date(), retention)
+    archive.save_page(text_lines(stories, entries, *extra_lines(extras, now)), f"{store.rstrip('/')}/_pages/{now:%Y-%m-%d-%H%M%S}")
+    return text_lines(stories, entries, *extra_lines(extras, now))
 
 
 def latest_stories(spark: SparkSession, store: str) -> DataFrame | None:

@@ -47,6 +47,25 @@ def glance_lines(entries: DataFrame, section: Column) -> DataFrame:
     return _lines(entries, section, "pos", parts)
 
 
+def plain_lines(rows: DataFrame, section: Column, first: str = "", rest: str = "") -> DataFrame:
+    """Rows (run_id, pos, line) as they stand, wrapped."""
+    return _lines(rows, section, "pos", F.array(wrapped(F.col("line"), WIDTH, first, rest)))
+
+
+def team_lines(blocks: DataFrame, section: Column) -> DataFrame:
+    """Teams (run_id, pos, team, record, games, next): each game with recap and page, then the next one."""
+    part = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    page = lambda url: part("url", F.when(is_web(url), url))
+    head = F.concat(F.col("team"), F.when(F.col("record") != "", F.concat(F.lit(" ("), "record", F.lit(")"))).otherwise(""))
+    played = F.transform("games", lambda g: F.array(part("item", F.concat(g["date"], F.lit(" · "), g["result"])), part("more", F.nullif(g["recap"], F.lit(""))), page(g["url"])))
+    ahead = F.array(part("item", F.concat(F.lit("Up Next · "), F.col("next.matchup"), F.lit(" · "), F.col("next.when"))), page(F.col("next.url")))
+    parts = F.filter(F.concat(F.array(part("head", F.lit("")), part("head", head)), F.coalesce(F.flatten(played), F.array().cast("array<struct<kind:string,text:string>>")), ahead), lambda x: x["text"].isNotNull())
+    rows = blocks.select("run_id", F.col("pos").cast("long").alias("at"), F.posexplode(parts).alias("n", "p"))
+    text, kind = F.col("p.text"), F.col("p.kind")
+    line = F.when(kind == "item", wrapped(text, WIDTH, "  ", "    ")).when(kind == "more", wrapped(text, WIDTH, "    ")).when(kind == "url", F.concat(F.lit("    "), text)).otherwise(text)
+    return rows.select("run_id", section.alias("section"), F.struct("at", "n").alias("ord"), line.alias("line"))
+
+
 def _titles(titles: list[str]) -> Column:
     return F.create_map(*(F.lit(x) for k, t in enumerate(titles) for x in (k, t)))
 

@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 
 import pytest
@@ -48,6 +49,34 @@ def test_two_runs(spark, tmp_path):
     assert not any("Lone story" in x and "UPDATE" in x for x in later)
 
 
+def test_payloads_page_and_retention(spark, tmp_path):
+    store = tmp_path / "store"
+    rows = read(spark, tmp_path / "in", security_a=rss(("Story", "http://a/1", "10", "x")), security_b=rss(("Other", "http://b/1", "10", "x")))
+    for day in ("2026-03-10", "2026-03-11"):
+        (store / f"run_date={day}").mkdir(parents=True)
+    day = 86400
+    chart = {"chart": {"result": [{"timestamp": [day * k for k in range(1, 11)], "indicators": {"quote": [{"close": [1000.0] * 5 + [1010.0] * 5}]}}]}}
+    periods = [{"name": "Today", "shortForecast": "Sunny", "isDaytime": True, "temperature": 84, "temperatureUnit": "F"}]
+    side = lambda where, name, score: {"homeAway": where, "score": score, "team": {"abbreviation": name, "shortDisplayName": name.title()}}
+    status = {"type": {"state": "post", "completed": True, "shortDetail": "Final"}}
+    game = {"id": "1", "date": "2026-06-08T23:05Z", "status": status, "competitions": [{"competitors": [side("home", "PIT", "4"), side("away", "NYY", "3")], "status": status}]}
+    extras = briefing.Extras(
+        spark.createDataFrame([("^DJI", json.dumps(chart))], "symbol string, body string"),
+        spark.createDataFrame([(json.dumps({"properties": {"periods": periods}}),)], "body string"),
+        spark.createDataFrame([("mlb", 0, json.dumps({"events": [game]}))], "league string, board int, body string"),
+        spark.createDataFrame([(0, "mlb", "Pirates", "1-0"), (1, "nhl", "Penguins", "")], "pos int, league string, team string, record string"),
+    )
+    lines = [r.line for r in briefing.run(spark, rows, str(store), NOW, extras=extras).collect()]
+    heads = [x for x in lines if x.isupper() and not x[0].isdigit()]
+    assert heads == ["SECURITY", "WEATHER", "SPORTS", "MARKETS (WEEKLY AVERAGE, CHANGE VS PRIOR WEEK)"]
+    assert "  Today: Sunny, high 84F." in lines and "Dow  1,010.00  ▲ +1.0%" in lines
+    at = lines.index("Pirates (1-0)")
+    assert lines[at + 1].endswith("Nyy 3 · Pit 4 · Final") and lines[at + 2] == "    https://plaintextsports.com/mlb/2026-06-08/nyy-pit"
+    assert not any("Penguins" in x for x in lines)
+    assert sorted(p.name for p in store.glob("run_date=*")) == ["run_date=2026-03-11", "run_date=2026-06-09"]
+    assert [r.value for r in spark.read.text(str(store / "_pages" / "2026-06-09-140000")).collect()] == [y for x in lines for y in x.split("\n")]
+
+
 def test_unfit(spark, tmp_path):
     rows = read(spark, tmp_path / "in", security_a=rss(("Story", "http://a/1", "10", "x")))
     with pytest.raises(briefing.Unfit, match="only 1 security"):
