@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from briefspark.llm.shared import materialize, table
+from briefspark.llm.shared import materialize, sums_before, table
 from briefspark.llm.tokens import byte_encoder, public_path
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -76,15 +76,14 @@ def place(pieces: DataFrame, room: int = 1024) -> DataFrame:
     """Give every piece (PIECES) its ``sequence_id`` and ``offset``; repeated rows get places of their own.
 
     A length that many pieces have is dealt into buckets by hash, each ranked by itself and moved
-    on by what the buckets before it hold. ``pieces`` is read three times and should be a written table.
+    on by what the buckets before it hold, which is summed in two levels. ``pieces`` is read three times and should be a written table.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``room`` rows
     buckets = spark.createDataFrame([(n, -(-c // RANKED_TOGETHER)) for n, c in histogram.items()], "length bigint, __buckets bigint")
     rows = pieces.join(F.broadcast(buckets), "length").withColumn("__b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("__buckets")))
-    counts = rows.groupBy("length", "__b").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("length", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    counts = materialize(rows.groupBy("length", "__b").agg(F.count("*").alias("__n")), "buckets")
+    counts = sums_before(counts, ["length"], "__b", "__n", "__before")
     within = Window.partitionBy("length", "__b").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = rows.withColumn("__k", F.row_number().over(within) - 1).join(counts, ["length", "__b"]).withColumn("__r", F.col("__k") + F.col("__before"))
     plan = spark.createDataFrame(plan_packs(histogram, room) or [(0, 0, 0, 0, 0)], "length bigint, __first bigint, __count bigint, __pack bigint, offset bigint")

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -75,3 +75,17 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread_
     salted = left.withColumn("__salt", F.pmod(F.xxhash64(*spread_on), F.lit(salts)))
     copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(copies.hint("merge"), [*keys, "__salt"], "left").drop("__salt")
+
+
+def sums_before(rows: DataFrame, by: list[str], at: str, value: str, name: str, together: int = 1024) -> DataFrame:
+    """``by``, ``at`` and, as ``name``, the sum of ``value`` over the rows of the same ``by`` at smaller places.
+
+    ``at`` counts from 0. ``together`` places are summed in one task, then the totals of such blocks,
+    so a key with n places has no more than n / ``together`` rows in one task. ``rows`` is read twice.
+    """
+    blocks = rows.select(*by, at, value, F.floor(F.col(at) / together).alias("__block"))
+    above = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocks.groupBy(*by, "__block").agg(F.sum(value).alias("__total")).select(*by, "__block", F.coalesce(F.sum("__total").over(above), F.lit(0)).alias("__above"))
+    inside = Window.partitionBy(*by, "__block").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(totals, [*by, "__block"])
+    return placed.select(*by, at, (F.col("__inside") + F.col("__above")).alias(name))

@@ -188,6 +188,16 @@ def test_one_hot_length(spark, monkeypatch):
         assert at <= 1024
 
 
+def test_sums_before_in_two_levels(spark):
+    from briefspark.llm.shared import sums_before
+
+    rows = spark.createDataFrame([(k % 3, k // 3, k) for k in range(100)], "length int, at bigint, n bigint")
+    got = {(r.length, r.at): r.s for r in sums_before(rows, ["length"], "at", "n", "s", together=4).collect()}
+    assert got == {(k % 3, k // 3): sum(range(k % 3, k, 3)) for k in range(100)}
+    alone = {r.n: r.s for r in sums_before(spark.range(10).selectExpr("id as n", "id as v"), [], "n", "v", "s", together=3).collect()}
+    assert alone == {k: k * (k - 1) // 2 for k in range(10)}
+
+
 def test_wavelet_query(spark, sf_dir):
     import pyarrow.parquet as pq
 
