@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefspark.llm.shared import file_system, local_copy, new_folder, table
+from briefspark.llm.shared import file_system, local_copy, new_folder, sums_before, table
 from briefspark.llm.tokens import public_path, word_encoder
 
 MAGIC = b"BSWAVE01"
@@ -167,8 +167,10 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1, id_co
     renames, so a repeated task leaves the same file.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 1), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_bytes))
+    total = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1), F.lit(0))).first()[0]
+    if not total:
+        return 0
+    shards = -(-total // shard_bytes)
     bounds: list[int] = []
     if shards > 1:
         bounds = rows.agg(F.percentile_approx("id", [k / shards for k in range(1, shards)], max(10_000, 20 * shards))).first()[0] or []
@@ -211,36 +213,32 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1, id_co
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "tokens": pa.array([sum(lengths)], pa.int64())})
 
     dealt = rows.mapInArrow(encode, "shard int, id bigint, tokens binary").repartitionById(shards, F.col("shard")).sortWithinPartitions(F.col("id").asc_nulls_first(), "tokens")
-    written = dealt.mapInArrow(write, "shard bigint, tokens bigint").collect()  # one row a shard
-    if not written:
-        return 0
-    starts = [0] * shards
-    for r in written:
-        starts[r["shard"]] = r["tokens"]
-    starts = [0, *np.cumsum(starts).tolist()]
-    system, place = file_system(folder)
-    with system.open_output_stream(f"{place}/manifest.json") as out:
-        out.write(json.dumps({"starts": starts}).encode())
+    dealt.mapInArrow(write, "shard bigint, tokens bigint").write.parquet(f"{folder}/manifest")
     return shards
 
 
 def read_shards(spark: SparkSession, folder: str, shards: int) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document in the files, and nothing else."""
+    """doc_id, start, n_tokens and ids_crc32 of every document in the files, and nothing else.
+
+    Each shard's row of the manifest brings the ids before it along, and each shard is a task.
+    """
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         cache: dict[str, str] = {}
-        with open(local_copy(f"{folder}/manifest.json", cache)) as f:
-            starts = json.load(f)["starts"]
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                rows = [(i, starts[shard] + at, len(t), zlib.crc32(t.astype("<u4"))) for i, at, t in WaveletFile(local_copy(f"{folder}/shard-{shard:06d}.bsw", cache)).documents()]
+            for shard, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [(i, start + at, len(t), zlib.crc32(t.astype("<u4"))) for i, at, t in WaveletFile(local_copy(f"{folder}/shard-{shard:06d}.bsw", cache)).documents()]
                 for k in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + 10_000], strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-    return spark.range(0, shards, 1, shards).mapInArrow(read, schema) if shards else spark.createDataFrame([], schema)
+    if not shards:
+        return spark.createDataFrame([], schema)
+    manifest = spark.read.schema("shard bigint, tokens bigint").parquet(f"{folder}/manifest")
+    starts = sums_before(manifest, [], "shard", "tokens", "start")
+    return starts.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(read, schema)
 
 
 def op8_wavelet(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
