@@ -41,6 +41,12 @@ def with_total(rows: DataFrame, group: str, *aggregates: Column) -> DataFrame:
     return found.withColumn(group, F.when(F.col("__g") == 1, "ALL").otherwise(F.col(group))).drop("__g")
 
 
+def listed(found: DataFrame, group: str, groups: list[str], *counts: str) -> DataFrame:
+    """A row for each of ``groups`` and ALL, whether it has items or not; counts are 0 and the rest null where there are none."""
+    names = found.sparkSession.createDataFrame([(g,) for g in [*groups, "ALL"]], f"`{group}` string")
+    return names.join(found, group, "left").fillna(0, list(counts))
+
+
 def block_share(rows: DataFrame, group: str, hour: str) -> DataFrame:
     """Per group and ALL: percent of items in each four-hour block and their number; null where there are none."""
     blocks = [F.count_if(F.col(hour).between(4 * b, 4 * b + 3)).alias(f"__b{b}") for b in range(6)]
@@ -57,20 +63,24 @@ def weekday_split(rows: DataFrame, group: str, weekday: str) -> DataFrame:
 def lag_report(rows: DataFrame, group: str, earlier: str, later: str) -> DataFrame:
     """Per group and ALL: exact median and nearest-rank 90th percentile of the lag in hours, and the number of rows.
 
-    Lags are counted by value first, so that a group of any size is never in one task.
+    Lags are counted by value, the counts summed by minute, and only the minutes that hold a wanted
+    rank are sorted. So a task sorts as many rows as the lags span minutes, or as one minute has values.
     """
-    lag = rows.select(group, hours_between(F.col(earlier), F.col(later)).alias("lag")).filter("lag is not null")
-    counts = lag.groupBy(group, "lag").agg(F.count("*").alias("c"))
-    everything = counts.groupBy("lag").agg(F.sum("c").alias("c")).select(F.lit("ALL").alias(group), "lag", "c")
-    whole = Window.partitionBy(group)
-    placed = counts.unionByName(everything).withColumns({"upto": F.sum("c").over(whole.orderBy("lag")), "n": F.sum("c").over(whole)})
-    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("lag")))
-    n = F.col("n")
-    return placed.groupBy(group).agg(
-        ((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2).alias("median_hours"),
-        at(F.least(n, F.greatest(F.lit(1), F.bround(n * 0.9).cast("long")))).alias("p90_hours"),
-        F.max("n").alias("n"),
-    )
+    lag = rows.select(F.col(group).alias("g"), hours_between(F.col(earlier), F.col(later)).alias("lag")).filter("lag is not null")
+    counts = lag.groupBy("g", "lag").agg(F.count("*").alias("c"))
+    everything = counts.groupBy("lag").agg(F.sum("c").alias("c")).select(F.lit("ALL").alias("g"), "lag", "c")
+    both = counts.unionByName(everything).withColumn("minute", F.floor(F.col("lag") * 60))
+    whole = Window.partitionBy("g")
+    n, ninth = F.col("n"), F.bround(F.col("n") * 0.9).cast("long")
+    ranks = F.array(F.floor((n + 1) / 2), F.floor(n / 2) + 1, F.least(n, F.greatest(F.lit(1), ninth)))
+    minutes = both.groupBy("g", "minute").agg(F.sum("c").alias("c")).withColumns({"upto": F.sum("c").over(whole.orderBy("minute")), "n": F.sum("c").over(whole)})
+    wanted = minutes.select(F.col("g").alias("wg"), F.col("minute").alias("wm"), "n", "upto", (F.col("upto") - F.col("c")).alias("before"), F.posexplode(ranks).alias("kind", "rank"))
+    wanted = wanted.filter("rank > before and rank <= upto").drop("upto")  # three rows a group
+    near = both.join(wanted, F.col("g").eqNullSafe(F.col("wg")) & (F.col("minute") == F.col("wm")))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("g", "kind").orderBy("lag"))
+    found = near.withColumn("upto", upto).filter("upto >= rank").groupBy("g", "kind").agg(F.min("lag").alias("lag"), F.max("n").alias("n"))
+    at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("lag")))
+    return found.groupBy(F.col("g").alias(group)).agg(((at(0) + at(1)) / 2).alias("median_hours"), at(2).alias("p90_hours"), F.max("n").alias("n"))
 
 
 def date_span(rows: DataFrame, time: str) -> DataFrame:

@@ -15,8 +15,11 @@ def recent(items: DataFrame, now: Column, hours: Column | int, time: str = "publ
 
 
 def keep_first(rows: DataFrame, by: list[str | Column], order: list[Column]) -> DataFrame:
-    """One row per key, the first in ``order``. Tasks keep one row per key before the shuffle."""
-    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("__rn = 1").drop("__rn")
+    """One row per key, the first in ``order``. Tasks keep one row per key before the shuffle. Columns may have any names."""
+    rank = "__rn"
+    while rank in rows.columns:
+        rank += "_"
+    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) == 1).drop(rank)
 
 
 def newest_per_group(rows: DataFrame, by: list[str], order: list[Column], cap: int | Column, rank: str = "rank") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +37,21 @@ SECURITY = Policy("security", 24, 120)
 WIDER_HOURS, LEAST_ITEMS, LEAST_FEEDS, RETENTION_DAYS = 48, 12, 2, 90
 POLICIES = [Policy("pittsburgh", 48, 60), Policy("reading", 336, 12), Policy("bizpol", 36, 60), Policy("events", 120, 50), Policy("sports_media", 96, 30), Policy("team_usa", 72, 40)]
 SECTIONS = [("Security", "security"), ("Business and Politics", "bizpol"), ("Around Town", "pittsburgh"), ("Events", "events"), ("Around the Teams", "sports_media"), ("Team USA", "team_usa"), ("Reading", "reading")]
+# Of these sections at least one has a story where the group has items.
+WANTED = {"pittsburgh": ("Business and Politics", "Around Town", "Events"), "reading": ("Reading",)}
 # Which groups' items a section may cite.
 CITES = [(s, g) for s, g in SECTIONS] + [("Events", "pittsburgh")]
 
-Summarizer = Callable[[DataFrame], DataFrame]
+@dataclass(frozen=True)
+class Notes:
+    """What a summarizer is told beside the items: what was wrong with its last draft, and the topics of the days before."""
+
+    problems: tuple[str, ...] = ()
+    memory: DataFrame | None = None  # date, topics
+
+
+Summarizer = Callable[[DataFrame, Notes], DataFrame]
+MEMORY_DAYS = 7
 STORY = ["section", "section_ord", "pos", "title", "area", "tags", "latest_developments", "summary", "sources"]
 
 
@@ -60,7 +71,11 @@ class Extras:
 
 
 class Unfit(ValueError):
-    """Feeds or drafts that no briefing can be made of."""
+    """Feeds or drafts that no briefing can be made of, with all that is wrong."""
+
+    def __init__(self, problems: list[str]) -> None:
+        super().__init__("; ".join(problems))
+        self.problems = tuple(problems)
 
 
 def select_items(items: DataFrame, now) -> DataFrame:
@@ -76,11 +91,11 @@ def select_items(items: DataFrame, now) -> DataFrame:
     return out.unionByName(selection.newest_per_group(chosen, ["group"], order, F.try_element_at(caps, F.col("group"))))
 
 
-def cluster(items: DataFrame, most_topics: int = 6, most_sources: int = 4) -> DataFrame:
+def cluster(items: DataFrame, notes: Notes = Notes(), most_topics: int = 6, most_sources: int = 4) -> DataFrame:
     """Stories without a language model: items of a group that share their most common long title word.
 
     The newest item of a cluster gives title and text; its sources are the newest few. Security
-    has at most ``most_topics`` stories, the most recent and most covered.
+    has at most ``most_topics`` stories, the most recent and most covered. It has no use for ``notes``.
     """
     words = items.select("group", "url", F.explode(F.array_distinct(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"))).alias("word")).filter("length(word) >= 5")
     shared = words.groupBy("group", "word").agg(F.count("*").alias("n")).filter("n > 1")
@@ -94,34 +109,44 @@ def cluster(items: DataFrame, most_topics: int = 6, most_sources: int = 4) -> Da
     return placed.select(
         "section", "section_ord", "pos", first["title"].alias("title"), first["source"].alias("area"),
         F.when(F.col("word").isNotNull(), F.array("word")).otherwise(F.array().cast("array<string>")).alias("tags"),
-        first_nonempty(first["summary"], first["title"]).alias("latest_developments"), F.lit("").alias("summary"),
+        first_nonempty(first["summary"], first["title"]).alias("latest_developments"),
+        F.concat(F.when(F.col("n") == 1, "1 item").otherwise(F.concat(F.col("n").cast("string"), F.lit(" items"))), F.lit(", the newest of "), F.date_format("newest", "yyyy-MM-dd HH:mm"), F.lit(" UTC")).alias("summary"),
         F.transform("top", lambda t: F.struct(t["source"].alias("source"), t["title"].alias("title"), t["url"].alias("url"))).alias("sources"),
     )
 
 
-def allowed_stories(stories: DataFrame, items: DataFrame) -> DataFrame:
-    """Stories with the sources that were fetched for their section; those with none are left out.
-
-    Security stories without one make the whole draft unfit, which ``check`` tells.
-    """
+def allowed_sources(stories: DataFrame, items: DataFrame) -> DataFrame:
+    """(section, pos, sources) of stories that cite what was fetched for their section; other sources are left out."""
     mapping = items.sparkSession.createDataFrame(CITES, "section string, group string")
     allowed = validation.section_allowed(items.select("group", "url"), mapping, "group", "section", "url")
     cited = stories.select("section", "pos", F.posexplode("sources").alias("n", "s")).select("section", "pos", "n", "s", F.col("s.url").alias("url"))
-    kept = validation.cited(cited, allowed, ["section", "url"]).groupBy("section", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]).alias("sources"))
+    return validation.cited(cited, allowed, ["section", "url"]).groupBy("section", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]).alias("sources"))
+
+
+def allowed_stories(stories: DataFrame, items: DataFrame) -> DataFrame:
+    """Stories that have a title, a text and an allowed source; ``check`` tells which of Security's are missing and why."""
     whole = stories.filter(validation.filled(F.col("title")) & validation.filled(F.col("latest_developments")))
-    return validation.normalize_topics(whole.drop("sources").join(kept, ["section", "pos"]))
+    return validation.normalize_topics(whole.drop("sources").join(allowed_sources(stories, items), ["section", "pos"]))
+
 
+def check(health: DataFrame, drafted: DataFrame, stories: DataFrame, items: DataFrame) -> None:
+    """Raise Unfit with all that is wrong, in order: feeds, each Security topic's fields and sources, whole sections.
 
-def check(health: DataFrame, drafted: DataFrame, stories: DataFrame) -> None:
-    """Raise Unfit with all that is wrong: too few feeds, no story, or a security story without an allowed source."""
+    Local sections and reading may not be empty where there are items for them. A draft has a page's rows.
+    """
     loaded = {r["group"]: r["loaded"] for r in health.collect()}  # one row a group
-    problems = [f"only {loaded.get('security', 0)} security feeds loaded"] if loaded.get("security", 0) < LEAST_FEEDS else []
-    lost = drafted.filter("section_ord = 0").join(stories.select("section", "pos"), ["section", "pos"], "left_anti")
-    problems += [f"topic {r['pos']}: no valid sources" for r in lost.orderBy("pos").limit(20).collect()]
-    if stories.filter("section_ord = 0").isEmpty():
+    problems = [f"only {loaded.get(SECURITY.group, 0)} security feeds loaded"] if loaded.get(SECURITY.group, 0) < LEAST_FEEDS else []
+    topics = drafted.filter("section_ord = 0")
+    rules = {f"missing {c}": ~validation.filled(F.col(c)) for c in ("title", "latest_developments", "summary")}
+    uncited = topics.join(allowed_sources(topics, items), ["section", "pos"], "left_anti").select("pos", F.lit("no valid sources").alias("problem"))
+    problems += [f"topic {r['pos']}: {r['problem']}" for r in validation.problems(topics, "pos", rules).unionByName(uncited).orderBy("pos", "problem").collect()]
+    found = {r["section"] for r in stories.select("section").distinct().collect()}
+    groups = {r["group"] for r in items.select("group").distinct().collect()}
+    if SECTIONS[0][0] not in found:
         problems.append("missing topics")
+    problems += [f"{', '.join(sections)}: no story, though there are items" for group, sections in WANTED.items() if group in groups and not found & set(sections)]
     if problems:
-        raise Unfit("; ".join(problems))
+        raise Unfit(problems)
 
 
 def finish(stories: DataFrame, items: DataFrame, now: datetime) -> DataFrame:
@@ -177,12 +202,17 @@ def extra_lines(extras: Extras, now: datetime) -> list[DataFrame]:
     return out
 
 
+def _placed(stories: DataFrame) -> DataFrame:
+    """Stories with their section's place on the page."""
+    place = F.create_map(*(F.lit(x) for name, _ in SECTIONS for x in (name, PAGE.index(name))))
+    return stories.withColumns({"run_id": F.lit("run"), "section": F.try_element_at(place, F.col("section"))})
+
+
 def text_lines(stories: DataFrame, entries: DataFrame, *others: DataFrame) -> DataFrame:
     """The briefing as ordered lines; sections without lines aren't there."""
-    rows = stories.withColumn("run_id", F.lit("run"))
-    place = F.try_element_at(F.create_map(*(F.lit(x) for name, _ in SECTIONS for x in (name, PAGE.index(name)))), F.col("section"))
-    topics = render.topic_lines(rows.filter("section_ord = 0").withColumn("rank", F.col("pos")), F.lit(PAGE.index("Security")))
-    local = render.story_lines(rows.filter("section_ord > 0"), place)
+    rows = _placed(stories)
+    topics = render.topic_lines(rows.filter("section_ord = 0").withColumn("rank", F.col("pos")), F.col("section"))
+    local = render.story_lines(rows.filter("section_ord > 0"), F.col("section"))
     return render.briefing(PAGE, render.glance_lines(entries, F.lit(0)), topics, local, *others).orderBy("section", "ord")
 
 
@@ -194,40 +224,73 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 def run(spark: SparkSession, feed_rows: DataFrame, store: str, now: datetime, summarize: Summarizer = cluster, attempts: int = 2, extras: Extras = Extras(), retention: int = RETENTION_DAYS) -> DataFrame:
     """Make a briefing from feed rows, add it to the store and return its lines.
 
-    A summarizer whose draft is unfit is asked again, ``attempts`` times in all. The store keeps
-    stories by day, and the page of each run below ``_pages``; days of stories before the
-    retention are deleted (0 keeps all).
+    A summarizer whose draft is unfit is asked again and told why, ``attempts`` times in all. The
+    store keeps stories by day, the page of each run as text and HTML below ``_pages``, and a record
+    of each run in ``_runs``; days of stories before the retention are deleted (0 keeps all).
     """
-    work = f"{store.rstrip('/')}/_work/{now:%Y%m%d%H%M%S}"  # Spark doesn't read names that begin so
+    store = store.rstrip("/")
+    work = f"{store}/_work/{now:%Y%m%d%H%M%S}"  # Spark doesn't read names that begin so
     rows = _written(feed_rows, f"{work}/rows")
     items = _written(select_items(feed_items(rows), F.lit(now)), f"{work}/items")
+    known = covered(spark, store, now)
+    known = None if known is None else _written(known, f"{work}/memory")
+    notes = Notes(memory=known)
     for left in reversed(range(attempts)):
-        drafted = _written(summarize(items).select(*STORY), f"{work}/drafted{left}")
+        drafted = _written(summarize(items, notes).select(*STORY), f"{work}/drafted{left}")
         stories = _written(allowed_stories(drafted, items), f"{work}/stories{left}")
         try:
-            check(feed_health(rows), drafted, stories)
+            check(feed_health(rows), drafted, stories, items)
             break
-        except Unfit:
+        except Unfit as e:
             if not left:
                 raise
+            notes = Notes(e.problems, known)
     prior = latest_stories(spark, store)
     prior = None if prior is None else _written(prior, f"{work}/prior")
     stories = _written(finish(stories.withColumn("anchor_key", F.concat_ws("#", "section", "pos")), items, now), f"{work}/finished")
     changed, listed = compare(stories, prior)
     entries = _written(make_glance(stories, changed, listed), f"{work}/glance")
+    shown, page = extra_lines(extras, now), f"{store}/_pages/{now:%Y-%m-%d-%H%M%S}"
     stories.write.partitionBy("run_date").mode("append").parquet(store)
     archive.prune(spark, store, now.date(), retention)
-    archive.save_page(text_lines(stories, entries, *extra_lines(extras, now)), f"{store.rstrip('/')}/_pages/{now:%Y-%m-%d-%H%M%S}")
-    return text_lines(stories, entries, *extra_lines(extras, now))
+    archive.save_page(text_lines(stories, entries, *shown), page)
+    archive.save_page(render.page_html(f"Briefing of {now:%Y-%m-%d %H:%M}", PAGE, _placed(stories), entries, *shown), f"{page}.html")
+    run_record(rows, items, stories, changed, now, attempts - left).write.mode("append").parquet(f"{store}/_runs")
+    return text_lines(stories, entries, *shown)
 
 
-def latest_stories(spark: SparkSession, store: str) -> DataFrame | None:
-    """Stories of the run before, which may be of the same day; None if there is none."""
+def run_record(rows: DataFrame, items: DataFrame, stories: DataFrame, changed: DataFrame, now: datetime, asked: int) -> DataFrame:
+    """One row on a run: feeds by group (group, loaded), and how many items, stories and changes there were."""
+    health = feed_health(rows).agg(F.sort_array(F.collect_list(F.struct("group", F.col("loaded").cast("long").alias("loaded")))).alias("feeds"))
+    changes = changed.agg(F.count_if(F.col("status") == "new").alias("new"), F.count_if(F.col("status") == "updated").alias("updated"))
+    counts = items.agg(F.count("*").alias("items")).crossJoin(stories.agg(F.count("*").alias("stories"))).crossJoin(changes)  # one row each
+    return health.crossJoin(counts).withColumns({"run_ts": F.lit(now), "drafts": F.lit(asked)})
+
+
+def _stored(spark: SparkSession, store: str, since: str | None = None) -> DataFrame | None:
+    """Stories of the store; None if there are none yet."""
     try:
-        found = archive.load_runs(spark, store)
+        return archive.load_runs(spark, store, since)
     except AnalysisException as e:  # nothing there yet, or only work files
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
+
+
+def covered(spark: SparkSession, store: str, now: datetime, days: int = MEMORY_DAYS) -> DataFrame | None:
+    """(date, topics): Security's topics in the last run of each of the last days; None before the first run."""
+    found = _stored(spark, store, f"{now - timedelta(days=days):%Y-%m-%d}")
+    if found is None:
+        return None
+    last = found.groupBy("run_date").agg(F.max("run_ts").alias("run_ts"))
+    topics = found.filter("section_ord = 0").join(last, ["run_date", "run_ts"]).withColumns({"date": F.to_date("run_date"), "last_24h": F.lit(None).cast("string")})
+    return diffing.prior_topics(topics, F.lit(now.date()), days)
+
+
+def latest_stories(spark: SparkSession, store: str) -> DataFrame | None:
+    """Stories of the run before, which may be of the same day; None if there is none."""
+    found = _stored(spark, store)
+    if found is None:
+        return None
     last = found.agg(F.max("run_ts")).first()[0]
     return None if last is None else found.filter(F.col("run_ts") == F.lit(last))

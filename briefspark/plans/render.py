@@ -93,8 +93,28 @@ def linked_html(text: Column, links: Column) -> Column:
     return F.aggregate(F.coalesce(links, F.array().cast("array<struct<anchor:string,phrase:string,start:int,end:int,title:string>>")), start, step, lambda a: F.concat(a["html"], escape_html(F.substring(text, a["at"] + 1, F.length(text)))))
 
 
-def story_html(stories: DataFrame) -> DataFrame:
-    """(run_id, pos, html) of stories; links that don't go to the web lead nowhere."""
+def story_html(stories: DataFrame, *keys: str) -> DataFrame:
+    """(run_id, keys.., pos, html) of stories; links that don't go to the web lead nowhere."""
     links = F.array_join(F.transform("sources", lambda s: F.concat(F.lit('<a rel="noopener" href="'), safe_url(s["url"]), F.lit('">'), escape_html(s["source"]), F.lit("</a>"))), ", ")
     body = F.concat(F.lit('<article id="'), F.coalesce("anchor", F.lit("")), F.lit('"><h3>'), escape_html(F.col("title")), F.lit("</h3><p>"), escape_html(F.col("latest_developments")), F.lit("</p><p>"), escape_html(F.coalesce("summary", F.lit(""))), F.lit("</p><p>"), links, F.lit("</p></article>"))
-    return stories.select("run_id", "pos", body.alias("html"))
+    return stories.select("run_id", *keys, "pos", body.alias("html"))
+
+
+def page_html(title: str, titles: list[str], stories: DataFrame, entries: DataFrame, *others: DataFrame) -> DataFrame:
+    """A whole page as ordered lines: head, contents, the list at the top, stories by section, other lines as they stand.
+
+    ``stories`` and ``others`` have their section as a place in ``titles``; the list is section 0.
+    """
+    first, last = -2, len(titles)
+    row = lambda df, section, at, line: df.select("run_id", F.lit(section).cast("int").alias("section") if isinstance(section, int) else section.cast("int").alias("section"), F.struct(at.cast("long").alias("at"), F.lit(0).alias("n")).alias("ord"), line.alias("line"))
+    body = [row(entries, 0, F.col("pos"), F.concat(F.lit("<p>"), linked_html(F.col("text"), F.col("links")), F.lit("</p>"))), row(story_html(stories, "section"), F.col("section"), F.col("pos"), F.col("html"))]
+    body += [df.select("run_id", F.col("section").cast("int").alias("section"), "ord", F.concat(F.lit("<pre>"), escape_html(F.col("line")), F.lit("</pre>")).alias("line")) for df in others]
+    lines = reduce(DataFrame.unionByName, body)
+    present = lines.select("run_id", "section").distinct()
+    name = escape_html(F.try_element_at(_titles(titles), F.col("section")))
+    heads = row(present, F.col("section"), F.lit(-1), F.concat(F.lit('<h2 id="s'), F.col("section").cast("string"), F.lit('">'), name, F.lit("</h2>")))
+    contents = row(present, -1, F.col("section"), F.concat(F.lit('<a href="#s'), F.col("section").cast("string"), F.lit('">'), name, F.lit("</a>")))
+    run = lines.sparkSession.createDataFrame([("run",)], "run_id string")
+    start = F.concat(F.lit('<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>'), escape_html(F.lit(title)), F.lit("</title></head><body><h1>"), escape_html(F.lit(title)), F.lit("</h1>"))
+    edges = row(run, first, F.lit(0), start).unionByName(row(run, last, F.lit(0), F.lit("</body></html>")))
+    return reduce(DataFrame.unionByName, [lines, heads, contents, edges])

@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from briefspark.operators import profile
+from briefspark.plans.briefing import POLICIES, SECURITY
 
+GROUPS = [SECURITY.group, *(p.group for p in POLICIES)]
 
-def report(log: DataFrame) -> dict[str, DataFrame]:
-    """From log rows (profile.log_rows): span, hours, blocks, weekdays and lags. Unknown groups count in ALL."""
+
+def report(log: DataFrame, groups: list[str] = GROUPS) -> dict[str, DataFrame]:
+    """From log rows (profile.log_rows): span, hours, blocks, weekdays and lags. Unknown groups count in ALL alone, empty ones are shown."""
     return {
         "span": profile.date_span(log, "published_utc"),
         "hours": profile.hour_histogram(log, "published_et_hour"),
-        "blocks": profile.block_share(log, "group", "published_et_hour"),
-        "weekdays": profile.weekday_split(log, "group", "published_weekday"),
-        "lags": profile.lag_report(log, "group", "published_utc", "first_seen_utc"),
+        "blocks": profile.listed(profile.block_share(log, "group", "published_et_hour"), "group", groups, "n"),
+        "weekdays": profile.listed(profile.weekday_split(log, "group", "published_weekday"), "group", groups, "weekday", "weekend"),
+        "lags": profile.listed(profile.lag_report(log, "group", "published_utc", "first_seen_utc"), "group", groups, "n"),
     }
 
 
@@ -24,9 +27,12 @@ def append(items: DataFrame, log: DataFrame | None, path: str, first_seen) -> in
     rows = profile.log_rows(items, first_seen)
     known = rows.limit(0) if log is None else log
     new = profile.unseen(rows, known, ["url"], [F.col("published_utc"), F.col("feed")]).cache()
-    n = new.count()
-    new.write.mode("append").parquet(path)
-    return n
+    try:
+        n = new.count()
+        new.write.mode("append").parquet(path)
+        return n
+    finally:
+        new.unpersist()
 
 
 def text(frames: dict[str, DataFrame]) -> str:

@@ -47,6 +47,26 @@ def test_two_runs(spark, tmp_path):
     later = [r.line for r in briefing.run(spark, read(spark, tmp_path / "in2", **first), store, NOW.replace(hour=15)).collect()]
     assert any("[UPDATE (new)] Fresh" in x for x in later) and any("[UPDATE (updated)] Markets rise" in x for x in later)
     assert not any("Lone story" in x and "UPDATE" in x for x in later)
+    html = [r.value for r in spark.read.text(f"{store}/_pages/2026-06-09-150000.html").collect()]
+    assert html[0].startswith("<!DOCTYPE html>") and html[-1] == "</body></html>"
+    assert '<a href="#s1">Security</a>' in html and '<h2 id="s1">Security</h2>' in html and any(firewall.anchor in x for x in html)
+    record = spark.read.parquet(f"{store}/_runs").orderBy("run_ts").collect()
+    assert [(r.items, r.stories, r.new, r.updated, r.drafts) for r in record] == [(4, 3, 0, 0, 1), (5, 4, 1, 1, 1)]
+    assert [(f["group"], f.loaded) for f in record[0].feeds] == [("bizpol", 1), ("security", 2)]
+    memory = briefing.covered(spark, store, NOW).collect()
+    assert [(str(r.date), sorted(t.title for t in r.topics)) for r in memory] == [("2026-06-09", ["Firewall makers respond", "Lone story"])]
+
+
+def test_all_problems_are_told(spark, tmp_path):
+    rows = read(spark, tmp_path / "in", security_a=rss(("Story", "http://a/1", "10", "x")), security_b=rss(("Other", "http://b/1", "10", "x")), reading_c=rss(("Post", "http://c/1", "10", "x")))
+
+    def blank(items, notes):
+        made = briefing.cluster(items).filter("section <> 'Reading'")
+        return made.withColumns({"title": F.when(F.col("pos") == 1, " ").otherwise(F.col("title")), "summary": F.lit("")})
+
+    with pytest.raises(briefing.Unfit) as e:
+        briefing.run(spark, rows, str(tmp_path / "store"), NOW, blank, attempts=1)
+    assert e.value.problems == ("topic 1: missing summary", "topic 1: missing title", "topic 2: missing summary", "Reading: no story, though there are items")
 
 
 def test_payloads_page_and_retention(spark, tmp_path):
@@ -87,13 +107,13 @@ def test_uncited_draft_is_asked_for_again(spark, tmp_path):
     rows = read(spark, tmp_path / "in", security_a=rss(("Story", "http://a/1", "10", "x")), security_b=rss(("Other", "http://b/1", "10", "x")))
     calls = []
 
-    def invent(items):
-        calls.append(1)
+    def invent(items, notes):
+        calls.append(notes.problems)
         made = briefing.cluster(items)
         return made if len(calls) > 1 else made.withColumn("sources", F.transform("sources", lambda s: s.withField("url", F.lit("http://made/up"))))
 
     briefing.run(spark, rows, str(tmp_path / "store"), NOW, invent)
-    assert len(calls) == 2
+    assert calls == [(), ("topic 1: no valid sources", "topic 2: no valid sources", "missing topics")]
     calls.clear()
     with pytest.raises(briefing.Unfit, match="no valid sources"):
         briefing.run(spark, rows, str(tmp_path / "s2"), NOW, invent, attempts=1)
@@ -105,5 +125,9 @@ def test_report(spark, tmp_path):
     assert report.append(items, None, path, F.lit(NOW)) == 2
     log = spark.read.parquet(path)
     assert report.append(items, log, path, F.lit(NOW)) == 0
+    blocks = {r["group"]: r for r in report.report(log)["blocks"].collect()}
+    assert blocks["reading"].n == 0 and blocks["reading"].h08_12 is None and blocks["ALL"].n == 2
+    lags = {r["group"]: r for r in report.report(log)["lags"].collect()}
+    assert (lags["security"].median_hours, lags["security"].p90_hours, lags["events"].n) == (3.5, 4.0, 0)
     shown = report.text(report.report(spark.read.parquet(path)))
     assert "LAGS" in shown and "ALL" in shown
