@@ -95,6 +95,17 @@ def test_lags(spark):
         assert got == {"g": float(at), "ALL": float(at)}
 
 
+def test_lags_within_a_minute_and_without_a_group(spark):
+    rows = spark.createDataFrame([(g, NOW, NOW + timedelta(milliseconds=k)) for g, n in (("g", 20), (None, 4)) for k in range(n)] + [("g", NOW, None)], "g string, a timestamp, b timestamp")
+    got = {r.g: (round(r.median_hours * 3.6e6, 6), round(r.p90_hours * 3.6e6, 6), r.n) for r in profile.lag_report(rows, "g", "a", "b").collect()}
+    assert got == {"g": (9.5, 17.0, 20), None: (1.5, 3.0, 4), "ALL": (7.5, 17.0, 24)}
+
+
+def test_first_of_a_key_with_a_column_named_alike(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 3, "z")], "k string, n int, __rn string")
+    assert sorted(tuple(r) for r in selection.keep_first(rows, ["k"], [F.col("n")]).collect()) == [("a", 1, "y"), ("b", 3, "z")]
+
+
 def test_log_and_runs(spark):
     rows = items(spark, [("g", "a", " u ", datetime(2026, 1, 5, 2)), ("g", "b", "", NOW), ("g", "c", "v", None)])
     got = profile.log_rows(rows, F.lit(NOW)).collect()
