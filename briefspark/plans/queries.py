@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from briefspark.functions import dates, text
 from briefspark.operators import archive, diffing, glance, market, profile, ranking, selection, sports, validation, weather
+from briefspark.plans import render
 
 NOW = "timestamp_ntz'2024-01-30 00:00:00'"
 SQL_NOW = "TIMESTAMP '2024-01-30 00:00:00'"
@@ -559,6 +560,31 @@ ESCAPED = f"""
 WITH e AS (SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN {_escaped_sql("url")} ELSE '#' END AS href, {_escaped_sql("html")} AS escaped FROM pages)
 SELECT page_id, href, length(escaped)::BIGINT AS n_escaped, sha256(escaped) AS escaped_sha256 FROM e"""
 
+
+def json_in_prose(spark, d):
+    found = text.json_object(F.col("html"))
+    return _t(spark, d, "pages").select("page_id", F.length(found).cast("long").alias("n_chars"), F.sha2(found, 256).alias("json_sha256"))
+
+
+JSON_IN_PROSE = r"""
+WITH j AS (SELECT page_id, nullif(regexp_extract(html, '(?s)\{.*\}'), '') AS j FROM pages)
+SELECT page_id, length(j)::BIGINT AS n_chars, sha256(j) AS json_sha256 FROM j"""
+
+
+def linked_names(spark, d):
+    """Names of parts with a link on the first word, one that overlaps it, which is skipped, and one on the last character."""
+    name = F.col("p_name")
+    first, last = F.instr(name, " ") - 1, F.length(name)
+    link = lambda anchor, a, b: F.struct(anchor.alias("anchor"), F.lit("").alias("phrase"), a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit("").alias("title"))
+    links = F.array(link(F.concat(F.lit("i-"), F.col("p_partkey").cast("string")), F.lit(0), first), link(F.lit("over"), F.lit(1), first + 1), link(F.lit("a&b"), last - 1, last))
+    return _t(spark, d, "part").select("p_partkey", render.linked_html(name, links).alias("html"))
+
+
+LINKED = """
+WITH p AS (SELECT p_partkey, p_name, instr(p_name, ' ') - 1 AS f, length(p_name) AS n FROM part)
+SELECT p_partkey, CASE WHEN f > 0 THEN '<a href="#i-' || p_partkey::VARCHAR || '">' || substr(p_name, 1, f) || '</a>' || substr(p_name, f + 1, n - f - 1)
+  ELSE substr(p_name, 1, n - 1) END || '<a href="#a&amp;b">' || substr(p_name, n, 1) || '</a>' AS html FROM p"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "recent_items_24h": (recent_items_24h, RECENT),
     "adaptive_window": (adaptive_window, ADAPTIVE),
@@ -603,4 +629,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "retention_prune": (retention_prune, PRUNE),
     "long_dates": (long_dates, LONG_DATES),
     "escaped_links": (escaped_links, ESCAPED),
+    "json_in_prose": (json_in_prose, JSON_IN_PROSE),
+    "linked_names": (linked_names, LINKED),
 }
