@@ -92,9 +92,15 @@ class BkForest:
         edge, node = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (edges, nodes))
         order = np.argsort(edge)
         self.edge, self.node = edge[order], node[order]
+        self.before = None
 
-    def pairs(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, other member of its shard within the radius), the other before the query."""
+    def index(self) -> BkForest:
+        """For searches that follow most edges: the number of edges before each, 260 bytes a member, instead of binary searches."""
+        self.before = np.r_[0, np.cumsum(np.bincount(self.edge, minlength=65 * len(self.values)))].astype(np.int32)
+        return self
+
+    def pairs(self, queries: np.ndarray, radius: int, both: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(query, other member of its shard within the radius), the other before the query; with ``both`` also after and itself."""
         found: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = [(queries, self.root[queries])]
         while waiting:
@@ -104,10 +110,13 @@ class BkForest:
                 waiting += [(q[:half], node[:half]), (q[half:], node[half:])]
                 continue
             far = np.bitwise_count(self.values[q] ^ self.values[node]).astype(np.int64)
-            near = (far <= radius) & (node < q)
+            near = far <= radius if both else (far <= radius) & (node < q)
             found.append((q[near], node[near]))
-            low = np.searchsorted(self.edge, node * 65 + np.maximum(far - radius, 0), "left")
-            high = np.searchsorted(self.edge, node * 65 + np.minimum(far + radius, 64), "right")
+            least, most = node * 65 + np.maximum(far - radius, 0), node * 65 + np.minimum(far + radius, 64)
+            if self.before is None:
+                low, high = np.searchsorted(self.edge, least, "left"), np.searchsorted(self.edge, most, "right")
+            else:
+                low, high = self.before[least], self.before[most + 1]
             many = high - low
             if total := int(many.sum()):
                 offset = np.arange(total) - np.repeat(np.cumsum(many) - many, many)
@@ -209,6 +218,13 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, limit: int = SHARD_L
 # --- operators -------------------------------------------------------------------------
 
 
+def rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """Rows (fp, copies, ..) with root, the least fingerprint of the component; without those that stand alone."""
+    stars = components(fingerprint_links(distinct.select("fp"), radius))
+    members = stars.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(stars.select(F.col("v"), F.col("v")).distinct())
+    return distinct.join(members, "fp", "left").filter("root is not null or copies > 1").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 
@@ -219,31 +235,37 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     """
     rows = materialize(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "distinct")
-    stars = components(fingerprint_links(distinct.select("fp"), radius))
-    members = stars.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(stars.select(F.col("v"), F.col("v")).distinct())
-    rooted = distinct.join(members, "fp", "left").filter("root is not null or copies > 1").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialize(salted_left_join(rooted, least, ["root"], [F.col("fp")]).select("fp", "component_id"), "named")
+    linked_rows = rooted(distinct, radius).select("fp", "root", "first_id")
+    least = linked_rows.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = materialize(salted_left_join(linked_rows, least, ["root"], [F.col("fp")]).select("fp", "component_id"), "named")
     return salted_left_join(rows, named, ["fp"], [F.col("doc_id")]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 # --- similarity of a given degree ------------------------------------------------------
 #
-# Fingerprints of texts whose sets of shingles overlap by 0.8 differ in some ten of 64 bits, too
-# many to deal by blocks of bits or to walk trees by. These operators deal by bands of min-hashes
-# instead. Of each min-hash two bits are kept: unequal ones agree in a quarter of all cases, which
-# is allowed for, and 512 of them take no more room than 128 whole bytes but tell similarities
-# apart better. They settle pairs that are SIGMAS standard deviations from the asked similarity;
-# pairs between, unless joined already, are judged by their sets of shingles. Texts that share no
-# band with another leave before signatures are dealt.
+# The same fingerprints and trees, of sets of shingles, so that a repeated phrase moves none. Those
+# of texts that overlap by 0.8 differ in some ten of 64 bits, too many to deal by blocks of bits.
+# Two kinds of shards take the place of blocks: components of fingerprints within OWN_RADIUS bits,
+# by the links above, and bands of min-hashes, for pairs farther apart. In each shard the BK-tree
+# of its fingerprints is searched with a wide radius, and only pairs that it finds are judged.
+#
+# A first judgement is by min-hashes, of which two bits are kept: unequal ones agree in a quarter
+# of all cases, which is allowed for, and 512 of them take no more room than 128 whole bytes but
+# tell similarities apart better. They settle pairs that are SIGMAS standard deviations from the
+# asked similarity; pairs between, unless joined already, are judged by their sets of shingles.
+# Texts that share no shard with another leave before signatures are dealt.
 
 BANDS, ROWS, HASHES = 16, 4, 512
 SIGMAS = 4.5
+#: Bits within which fingerprints are linked whatever their bands, and standard deviations that a shard's search goes beyond the mean of pairs just similar enough.
+OWN_RADIUS, WIDE_SIGMAS = 2, 5.5
 #: Words of a signature by which most pairs are told unlike.
 FEW = 4
 _LOW_BITS = np.uint64(0x5555555555555555)
-#: In shards up to this size all pairs are listed; in larger ones most members are joined by pivots first.
+#: In shards up to this size every member searches the tree; in larger ones most members are joined by pivots first.
 TREE_LIMIT = 512
+#: Pairs that searches of a large shard may list at a time.
+LISTED = 1 << 19
 #: Members, and bytes of sets, that one task takes; larger shards are cut, and each two cuts are dealt together.
 CUT, CUT_BYTES = 50_000, 64 << 20
 #: Texts asked for by name that are sent to every task, some 10 MB; more are joined by key.
@@ -290,12 +312,22 @@ def unequal_limits(similarity: float) -> tuple[int, int]:
     return int(HASHES * share - spread), int(np.ceil(HASHES * share + spread))
 
 
+def wide_radius(similarity: float) -> int:
+    """Bits within which the fingerprints of similar sets lie, but for some two in ten million at 0.8.
+
+    Of two sets a bit differs as often as random halves of space part their vectors: by the angle
+    between them, widest for sets of equal size.
+    """
+    share = np.arccos(min(2 * similarity / (1 + similarity), 1.0)) / np.pi
+    return min(int(np.ceil(64 * share + WIDE_SIGMAS * np.sqrt(64 * share * (1 - share)))), 64)
+
+
 def _text_node(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, node (MD5 of the text), sig and bands of every row; a null text is empty."""
+    """doc_id, node (MD5 of the text), fp (of the set of shingles), sig and bands of every row; a null text is empty."""
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -312,12 +344,13 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                     if node not in known:
                         if len(known) >= 20_000:
                             known.clear()
-                        known[node] = (node, *signature(shingle_set(text, words)))
+                        hashes = shingle_set(text, words)
+                        known[node] = (node, fingerprint(hashes), *signature(hashes))
                     rows.append(known[node])
-                kinds = [pa.binary(), pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "node", "sig", "bands"])
+                kinds = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "node", "fp", "sig", "bands"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id bigint, node binary, sig binary, bands array<bigint>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id bigint, node binary, fp bigint, sig binary, bands array<bigint>")
 
 
 def _middle(sigs: np.ndarray) -> int:
@@ -326,13 +359,58 @@ def _middle(sigs: np.ndarray) -> int:
     return int(np.bitwise_count(sigs ^ np.packbits(2 * ones > len(sigs)).view("<u8")).sum(axis=1).argmin())
 
 
-def _large_classes(sigs: np.ndarray, label: np.ndarray, doubt: np.ndarray, sure: int, maybe: int) -> None:
-    """Join a large shard's members: pivots in the middle take most of them; then all outside the largest class meet all others."""
+class MemberTrees:
+    """BK-trees of shards whose members may share fingerprints: a node stands for all that do. Members are ordered by shard."""
+
+    def __init__(self, values: np.ndarray, shard: np.ndarray, radius: int) -> None:
+        self.radius, self.order = radius, np.lexsort((values, shard))
+        v, s = values[self.order], shard[self.order]
+        new = np.r_[True, (v[1:] != v[:-1]) | (s[1:] != s[:-1])][: len(v)]
+        self.start = np.flatnonzero(new)
+        self.many = np.diff(np.r_[self.start, len(v)])
+        self.node = np.empty(len(v), np.int64)
+        self.node[self.order] = np.cumsum(new) - 1
+        self.forest = BkForest(v[self.start], s[self.start]).index()
+
+    def near(self, q: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(member of ``q``, member of its shard within the radius); unless ``both``, once for two members of ``q``, but those of a node."""
+        q = q[np.argsort(self.node[q], kind="stable")]
+        nodes, first, own = np.unique(self.node[q], return_index=True, return_counts=True)
+        a, b = self.forest.pairs(nodes, self.radius, both)
+        if not both:
+            a, b = np.r_[a, nodes], np.r_[b, nodes]
+        at, width = np.searchsorted(nodes, a), self.many[b]
+        total = own[at] * width
+        k = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+        width = np.repeat(width, total)
+        return q[np.repeat(first[at], total) + k // width], self.order[np.repeat(self.start[b], total) + k % width]
+
+
+def _meet(x: np.ndarray, y: np.ndarray, sigs: np.ndarray, few: np.ndarray, label: np.ndarray, doubt: np.ndarray, sure: int, maybe: int) -> None:
+    """Join the surely similar of these pairs, and mark those that may be similar, unless joined already."""
+    apart = label[x] != label[y]
+    x, y = x[apart], y[apart]
+    for at in range(0, len(x), 1 << 16):
+        a, b = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+        left = unequal(few[a], few[b]) <= maybe
+        a, b = a[left], b[left]
+        far = unequal(sigs[a], sigs[b])
+        union(label, a[far <= sure], b[far <= sure])
+        between = (far > sure) & (far <= maybe)
+        a, b = a[between], b[between]
+        apart = label[a] != label[b]
+        doubt[a[apart]] = doubt[b[apart]] = True
+
+
+def _large_classes(sigs: np.ndarray, values: np.ndarray, label: np.ndarray, doubt: np.ndarray, sure: int, maybe: int, radius: int) -> None:
+    """Join a large shard's members: pivots in the middle take most of them; then all outside the largest class search the tree."""
+    trees = MemberTrees(values, np.zeros(len(values), np.int64), radius)
     everyone = np.arange(len(sigs))
     pool = everyone
     while len(pool) > TREE_LIMIT:
         pivot = int(pool[_middle(sigs[pool])])
-        near = everyone[unequal(sigs, sigs[pivot]) <= sure]
+        near = trees.near(np.array([pivot]), both=True)[1]
+        near = near[unequal(sigs[near], sigs[pivot]) <= sure]
         union(label, near, np.full(len(near), pivot))
         rest = pool[label[pool] != label[pivot]]
         if len(rest) > 0.95 * len(pool):
@@ -340,47 +418,54 @@ def _large_classes(sigs: np.ndarray, label: np.ndarray, doubt: np.ndarray, sure:
         pool = rest
     classes, sizes = np.unique(label, return_counts=True)
     few = np.ascontiguousarray(sigs[:, :FEW])
-    for q in everyone[label != classes[sizes.argmax()]]:
-        near = np.flatnonzero((unequal(few, few[q]) <= maybe) & (label != label[q]))
-        far = unequal(sigs[near], sigs[q])
-        alike, between = near[far <= sure], near[(far > sure) & (far <= maybe)]
-        if len(between):
-            doubt[between] = doubt[q] = True
-        union(label, alike, np.full(len(alike), q))
+    outside = everyone[label != classes[sizes.argmax()]]
+    step = max(LISTED // len(sigs), 1)
+    for at in range(0, len(outside), step):
+        _meet(*trees.near(outside[at : at + step], both=True), sigs, few, label, doubt, sure, maybe)
+
+
+def _first_of_equals(sigs: np.ndarray, values: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """For each member the first of its shard with the same fingerprint and signature."""
+    mixed = (sigs * np.arange(1, 2 * sigs.shape[1], 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(axis=1, dtype=np.uint64)
+    order = np.lexsort((mixed, values, shard))
+    a, b = order[1:], order[:-1]
+    new = (shard[a] != shard[b]) | (values[a] != values[b]) | (mixed[a] != mixed[b])
+    same = np.flatnonzero(~new)
+    new[same] = (sigs[a[same]] != sigs[b[same]]).any(axis=1)
+    new = np.r_[True, new][: len(order)]
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # lexsort is stable
+    return out
 
 
-def similar_classes(sigs: np.ndarray, shard: np.ndarray, sure: int, maybe: int) -> tuple[np.ndarray, np.ndarray]:
+def similar_classes(sigs: np.ndarray, shard: np.ndarray, sure: int, maybe: int, values: np.ndarray | None = None, radius: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Labels that join surely similar members of each shard, and which members may be similar to one of another class.
 
-    Members are ordered by shard.
+    Only members whose fingerprints (``values``) lie within the radius are compared; without
+    fingerprints all are. Members are ordered by shard.
     """
+    values = np.zeros(len(sigs), "<u8") if values is None else values
+    equal = _first_of_equals(sigs, values, shard)
+    one = np.flatnonzero(equal == np.arange(len(sigs)))
+    label, doubt = _classes_of_distinct(np.ascontiguousarray(sigs[one]), shard[one], sure, maybe, values[one], radius)
+    at = np.searchsorted(one, equal)
+    return one[label][at], doubt[at]
+
+
+def _classes_of_distinct(sigs: np.ndarray, shard: np.ndarray, sure: int, maybe: int, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     label, doubt = np.arange(len(sigs)), np.zeros(len(sigs), bool)
     first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
     size = np.diff(np.r_[first, len(shard)])
     for a, n in zip(first[size > TREE_LIMIT], size[size > TREE_LIMIT], strict=True):
         own = np.arange(n)
-        _large_classes(sigs[a : a + n], own, doubt[a : a + n], sure, maybe)
+        _large_classes(sigs[a : a + n], values[a : a + n], own, doubt[a : a + n], sure, maybe, radius)
         label[a : a + n] = own + a
-    start = np.repeat(first, size)
     few = np.ascontiguousarray(sigs[:, :FEW])
     small = np.flatnonzero(np.repeat((size > 1) & (size <= TREE_LIMIT), size))
+    trees = MemberTrees(values[small], shard[small], radius)
     for at in range(0, len(small), 2048):
-        q = small[at : at + 2048]
-        many = q - start[q]  # pairs with those before in the shard
-        a = np.repeat(q, many)
-        b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[q], many)
-        apart = label[a] != label[b]
-        a, b = a[apart], b[apart]
-        for k in range(0, len(a), 1 << 16):
-            x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-            left = unequal(few[x], few[y]) <= maybe
-            x, y = x[left], y[left]
-            far = unequal(sigs[x], sigs[y])
-            union(label, x[far <= sure], y[far <= sure])
-            between = (far > sure) & (far <= maybe)
-            x, y = x[between], y[between]
-            apart = label[x] != label[y]
-            doubt[x[apart]] = doubt[y[apart]] = True
+        x, y = trees.near(np.arange(at, min(at + 2048, len(small))), both=False)
+        _meet(small[x], small[y], sigs, few, label, doubt, sure, maybe)
     alone = np.minimum.reduceat(label, first) == np.maximum.reduceat(label, first) if len(first) else first
     doubt[np.repeat(alone, size)] = False
     return label, doubt
@@ -435,26 +520,40 @@ def _star(nodes: list[bytes], label: np.ndarray) -> list[tuple]:
     return [(None, max(p), min(p)) for p in pairs]
 
 
+def fingerprint_shards(distinct: DataFrame, radius: int = OWN_RADIUS) -> DataFrame:
+    """(node, shard) of the texts (node, fp) whose fingerprints are equal to or linked with another's: a shard for each component."""
+    values = materialize(distinct.groupBy("fp").agg(F.count("*").alias("copies")), "values")
+    roots = rooted(values, radius).select("fp", "root")
+    named = salted_left_join(distinct.select("node", "fp"), roots, ["fp"], [F.col("node")]).filter("root is not null")
+    return materialize(named.select("node", F.xxhash64(F.lit("fingerprints"), "root").alias("shard")), "places")
+
+
 def band_links(distinct: DataFrame, similarity: float) -> DataFrame:
-    """What the signatures (node, sig, bands) tell: links u > v without a shard, and members u of a shard in doubt.
+    """What the signatures (node, fp, sig, bands) tell: links u > v without a shard, and members u of a shard in doubt.
 
-    For the latter v is the node that stands for u's class there. Bands that no other text shares
-    are left out before any signature is shuffled.
+    For the latter v is the node that stands for u's class there. Shards are bands and components
+    of fingerprints; those of one text are left out before any signature is shuffled. Without fp
+    all texts of a shard are compared.
     """
     sure, maybe = unequal_limits(similarity)
+    radius = wide_radius(similarity)
 
     def run(rows: list[tuple]) -> Iterator:
-        keys, nodes, sigs = zip(*rows, strict=True)
+        keys, nodes, fps, sigs = zip(*rows, strict=True)
         keys, sigs = np.array(keys, np.int64), np.frombuffer(b"".join(sigs), "<u8").reshape(-1, HASHES // 32)
-        label, doubt = similar_classes(sigs, keys, sure, maybe)
+        label, doubt = similar_classes(sigs, keys, sure, maybe, np.array(fps, np.int64).view("<u8"), radius)
         found = _star(nodes, label) + [(int(keys[i]), nodes[i], nodes[label[i]]) for i in np.flatnonzero(doubt).tolist()]
         for at in range(0, len(found), 10_000):
             yield _found_rows(found[at : at + 10_000])
 
     places = distinct.select("node", F.explode("bands").alias("shard"))
+    if "fp" in distinct.columns:
+        places = places.union(fingerprint_shards(distinct))
+    else:
+        distinct = distinct.withColumn("fp", F.lit(0).cast("long"))
     shared = materialize(places.groupBy("shard").agg(F.count("*").alias("weight")).filter("weight > 1"), "shared")
     dealt = _cut_crowds(places, shared, CUT)
-    dealt = dealt.join(distinct.select("node", "sig"), "node").select("shard", "node", "sig")
+    dealt = dealt.join(distinct.select("node", "fp", "sig"), "node").select("shard", "node", "fp", "sig")
     return _by_shard(run, dealt, FOUND, CUT)
 
 
@@ -530,15 +629,15 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     """Of each group of exact and near copies the row with the smallest id, with all its columns.
 
     Texts are alike if their sets of shingles overlap by ``similarity`` or more; groups are
-    components of such pairs. Pairs that share no band of min-hashes aren't found (at 0.8 two in
-    ten thousand). Case of A-Z and white space don't count. Null and wordless texts are one
+    components of such pairs. Pairs whose fingerprints differ in more than two bits and that share
+    no band of min-hashes aren't found (at 0.8 two in ten thousand). Case of A-Z and white space don't count. Null and wordless texts are one
     group. Of repeated rows one stays; a null id stays only if its group has no other. The columns
     of ``docs`` may have any names.
     """
     rows = signatures(docs, words, id_col, text_col)
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-    distinct = materialize(rows.groupBy("node").agg(smallest, F.first("sig").alias("sig"), F.first("bands").alias("bands")), "distinct")
-    found = materialize(band_links(distinct.select("node", "sig", "bands"), similarity), "found")
+    distinct = materialize(rows.groupBy("node").agg(smallest, F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "distinct")
+    found = materialize(band_links(distinct.select("node", "fp", "sig", "bands"), similarity), "found")
     links = found.filter("shard is null").select("u", "v")
     doubt = found.filter("shard is not null").select("shard", F.col("u").alias("node"), F.col("v").alias("root"))
     if not doubt.isEmpty():

@@ -21,7 +21,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of exact and near copies (five-word shingles, similarity 0.8 or more) the one with the smallest id stays."""
+    """Of exact and near copies (SimHash and BK-trees, then five-word shingles at a similarity of 0.8 or more) the one with the smallest id stays."""
     return drop_near_duplicates(docs, words=5, similarity=0.8)
 
 
@@ -37,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", keep_good), ("near-dedup", keep_one_of_each), ("secret scan", mask_secrets), ("packing", pack)]
 
-#: Tokenizers and min-hashes aren't expressible in SQL; tests/llm holds the stages against brute force.
+#: Tokenizers and fingerprints aren't expressible in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -521,6 +521,62 @@ def test_cuts_of_a_crowded_band_lose_no_link(spark, monkeypatch):
     assert all(together[a] & together[b] for a, b in between if want.find(a) != want.find(b))
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_only_what_trees_find_is_compared(monkeypatch, large):
+    """In shards of any size the members that meet are those whose fingerprints lie within the radius, however alike their signatures."""
+    if large:
+        monkeypatch.setattr(simhash, "TREE_LIMIT", 16)
+        monkeypatch.setattr(simhash, "LISTED", 500)
+    random_ = np.random.default_rng(9)
+    shard = np.repeat(np.arange(4), [200, 1, 60, 3])
+    centres = random_.integers(0, 1 << 63, 12).astype("<u8")
+    values = centres[random_.integers(0, 12, len(shard))]
+    for _ in range(4):
+        values = values ^ (np.uint64(1) << random_.integers(0, 64, len(shard)).astype("<u8"))
+    values[::7] = values[0]
+    kinds = random_.integers(0, 256, (2, simhash.HASHES // 4)).astype("u1")
+    sigs = kinds[random_.integers(0, 2, len(shard))].copy()
+    sigs[np.arange(len(sigs)), random_.integers(0, sigs.shape[1], len(sigs))] ^= random_.integers(0, 2, len(sigs)).astype("u1")
+    sigs = sigs.view("<u8")
+    want = Classes(range(len(shard)))
+    for i in range(len(shard)):
+        for j in range(i):
+            if shard[i] == shard[j] and int(values[i] ^ values[j]).bit_count() <= 8 and simhash.unequal(sigs[i], sigs[j]) <= 20:
+                want.join(i, j)
+    got, doubt = simhash.similar_classes(sigs, shard, 20, 20, values, 8)
+    assert got.tolist() == [want.find(i) for i in range(len(shard))] and not doubt.any()
+    assert 10 < len(set(got.tolist())) < 200
+    assert len(set(simhash.similar_classes(sigs, shard, 20, 20)[0].tolist())) == 7  # two kinds a shard
+
+
+def test_fingerprints_link_texts_without_a_common_band(spark):
+    """Near-dedup takes op10's links: texts within two bits, also over others, meet though no band has two of them."""
+    random_ = np.random.default_rng(2)
+    sig = random_.integers(0, 256, simhash.HASHES // 4).astype("u1").tobytes()
+    other = random_.integers(0, 256, simhash.HASHES // 4).astype("u1").tobytes()
+    fps = {b"a": (5, sig), b"b": (5 ^ 3 << 40, sig), b"c": (5 ^ 15 << 40, sig), b"d": (5, other), b"e": (5 ^ 7 << 9, sig), b"f": (-1, sig), b"g": (-1, sig)}
+    rows = [(node, fp, s, [100 * k + i for i in range(simhash.BANDS)]) for k, (node, (fp, s)) in enumerate(fps.items())]
+    found = simhash.band_links(spark.createDataFrame(rows, "node binary, fp bigint, sig binary, bands array<bigint>"), 0.8).collect()
+    assert {(bytes(r.u), bytes(r.v)) for r in found if r.shard is None} == {(b"b", b"a"), (b"c", b"a"), (b"g", b"f")}
+
+
+def test_a_shard_s_search_is_wide_enough():
+    """Pairs just similar enough lie within the radius, of many and of few shingles; most others don't."""
+    random_ = np.random.default_rng(13)
+    radius = simhash.wide_radius(0.8)
+    assert radius < 27 and simhash.wide_radius(1.0) == 0
+
+    def apart(a, b):
+        return ((simhash.fingerprint(a) ^ simhash.fingerprint(b)) & (1 << 64) - 1).bit_count()
+
+    for shared, own, theirs in ((800, 100, 100), (80, 11, 9), (8, 1, 1), (12, 3, 0)):
+        for _ in range(1500):
+            x = random_.integers(0, 1 << 64, shared + own + theirs, dtype=np.uint64)
+            assert apart(x[: shared + own], np.r_[x[:shared], x[shared + own :]]) <= radius
+    far = [apart(*random_.integers(0, 1 << 64, (2, 50), dtype=np.uint64)) for _ in range(500)]
+    assert np.mean(np.array(far) <= radius) < 0.2
+
+
 def exact_classes(texts, words=5, similarity=0.8):
     """Components of all pairs whose sets of shingles overlap enough, found by their common shingles."""
     sets, postings = {}, collections.defaultdict(list)
